@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..shipping import map_arrow
 
@@ -116,8 +118,6 @@ def running_sums(ordered: DataFrame, value: str, out: str, segment: str | None =
                 names=["p", "first", "last", "tail", "single"],
             )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = to_arrow_type(ordered.schema[segment].dataType) if segment else pa.string()
     rows = map_arrow(ordered.select(*wanted), summary, f"p int, first {seg_type}, last {seg_type}, tail bigint, single boolean").collect()
     carry: dict[int, tuple] = {}
@@ -151,9 +151,7 @@ def running_sums(ordered: DataFrame, value: str, out: str, segment: str | None =
                 base = int(run[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run, pa.int64())], names=[*b.schema.names, out])
 
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType(ordered.schema.fields).add(out, LongType())
+    schema = StructType([*ordered.schema.fields, StructField(out, LongType())])
     return map_arrow(ordered, add, schema)
 
 
