@@ -52,6 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(df: DataFrame, name: str):
+    """The column of that very name, whatever signs are in it."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,8 @@ Defined cases: null and empty texts have no lines and stay as they are. Blank li
 removed. Null doc_ids come last in order. Rows that repeat doc_id and text are one document and are
 cut alike; other texts under the same doc_id are other documents, ordered by the texts' hash. A
 document of which nothing but blank lines is left is dropped. Line ends are line feeds; a carriage
-return stays with its line. Other columns are passed on untouched.
+return stays with its line. Other columns are passed on untouched,
+but for one of the name asked for the count, which is replaced.
 """
 
 from __future__ import annotations
@@ -214,15 +215,15 @@ def apply(docs: DataFrame, removed: DataFrame, count: str | None = None) -> Data
     """``docs`` without the removed lines and without the documents that lose all they had;
     columns as they were, and ``count``, if named, the number of lines removed."""
     d, h = _identity(docs)
-    few = removed.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("lines").alias("__lines"))
+    few = removed.select(F.col("d").alias("__gw_d"), F.col("h").alias("__gw_h"), F.col("lines").alias("__gw_lines"))
     if _scale.small_enough(removed.count(), 120):
         few = F.broadcast(few)
-    joined = docs.join(few, (d == F.col("__d")) & (h == F.col("__h")), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains("__lines", i.cast("int"))), "\n")
-    text = F.when(F.col("__lines").isNull(), docs["text"]).otherwise(left)
-    columns = [text.alias(c) if c.lower() == "text" else docs[c] for c in docs.columns]
-    extra = [F.coalesce(F.size("__lines"), F.lit(0)).alias(count)] if count else []
-    return joined.where(F.col("__lines").isNull() | (F.translate(left, BLANK + "\n", "") != "")).select(*columns, *extra)
+    joined = docs.join(few, (d == F.col("__gw_d")) & (h == F.col("__gw_h")), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains("__gw_lines", i.cast("int"))), "\n")
+    text = F.when(F.col("__gw_lines").isNull(), docs["text"]).otherwise(left)
+    columns = [text.alias(c) if c.lower() == "text" else _scale.column(docs, c) for c in docs.columns if c.lower() != (count or "").lower()]
+    extra = [F.coalesce(F.size("__gw_lines"), F.lit(0)).alias(count)] if count else []
+    return joined.where(F.col("__gw_lines").isNull() | (F.translate(left, BLANK + "\n", "") != "")).select(*columns, *extra)
 
 
 def dedup(docs: DataFrame, count: str | None = None) -> DataFrame:

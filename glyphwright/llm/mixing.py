@@ -68,14 +68,14 @@ def keep_mixed(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default:
     says it all and no text is shuffled. Rows that equal the last one in id and count stay with it.
     """
     last = F.struct(F.col("k"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("n_tokens").alias("n"))
-    cuts = _mixed(docs, weights, default, budget, budget_percent, seed).groupBy(F.col("source").alias("__source")).agg(F.max(last).alias("__cut"))
+    cuts = _mixed(docs, weights, default, budget, budget_percent, seed).groupBy(F.col("source").alias("__gw_source")).agg(F.max(last).alias("__gw_cut"))
     cuts = _scale.stored(cuts, "cuts")
     if _scale.small_enough(cuts.count(), 200):
         cuts = F.broadcast(cuts)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
     doc = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(1 << 63)))
     mine = F.struct(key.alias("k"), doc.alias("d"), token_count(docs["text"]).alias("n"))
-    return docs.join(cuts, docs["source"].eqNullSafe(F.col("__source")) & (mine <= F.col("__cut")), "left_semi")
+    return docs.join(cuts, docs["source"].eqNullSafe(F.col("__gw_source")) & (mine <= F.col("__gw_cut")), "left_semi")
 
 
 SQL = rf"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, secrets, sharding, simhash
+from . import bpe, langid, licenses, linededup, mixing, quality, secrets, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))[1]
 
@@ -27,9 +31,29 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op4_secrets, op5_sharding, op8_linededup)}
-ORACLES = {"op2_mixing": mixing.SQL, "op4_secrets": secrets.SQL, "op5_sharding": sharding.SQL, "op8_linededup": linededup.SQL}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_mixing, op3_langid, op4_secrets, op5_sharding, op6_quality, op7_topk, op8_linededup, op9_bpe, op10_licenses)
+}
+ORACLES = {"op2_mixing": mixing.SQL, "op4_secrets": secrets.SQL, "op5_sharding": sharding.SQL, "op7_topk": topk.SQL, "op8_linededup": linededup.SQL}

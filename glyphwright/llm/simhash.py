@@ -223,4 +223,4 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_all: int
     gone = _scale.stored(gone, "gone")
     if _scale.small_enough(gone.count(), 16):
         gone = F.broadcast(gone)
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")), F.col("__gone") == docs["doc_id"], "left_anti")
+    return docs.join(gone.select(F.col("doc_id").alias("__gw_gone")), F.col("__gw_gone") == docs["doc_id"], "left_anti")
