@@ -46,7 +46,7 @@ def best_match(entries: DataFrame, variants: DataFrame) -> DataFrame:
 
 def without_cycles(entries: DataFrame) -> DataFrame:
     """Drop keys that are a correction of another key."""
-    goods = entries.select(F.lower(F.explode("corrections")).alias("key")).distinct()
+    goods = entries.select(F.explode("corrections").alias("good")).select(F.lower("good").alias("key")).distinct()
     return entries.join(goods, "key", "left_anti")
 
 

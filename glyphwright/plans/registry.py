@@ -1,4 +1,558 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL. Each runs over its whole tables.
 
-QUERIES = {}
-ORACLES = {}
+The lexicon of these queries is made of words that the test texts have; it is written once here and
+rendered for Spark and for SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tokens as T
+from ..operators import check, curate, dialect, filetypes, fix, sinks
+from ..sources import config, dictionaries
+from ..streaming import stream
+
+DICTIONARY = {"ther": ["there", "their"], "ened": ["ended"], "onth": ["month"], "oned": ["owned"], "reti": ["retain"], "hean": [], "ande": ["and"], "ersh": ["fresh"], "nter": ["enter"]}
+WORDS = {"ther": "other", "thre": "", "eran": "ran", "onan": "onan"}
+IDENTIFIERS = {"The": "Teh", "ation": "", "Ther": "Ther"}
+IGNORE_IDENTIFIERS, IGNORE_WORDS = ("^on.*h$",), ("^E",)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _dictionary(spark):
+    return spark.createDataFrame(list(DICTIONARY.items()), "key string, corrections array<string>")
+
+
+def _values(rows) -> str:
+    show = lambda v: "NULL" if v is None else "[" + ", ".join(map(show, v)) + "]::VARCHAR[]" if isinstance(v, (list, tuple)) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows)
+
+
+_MAIL, _WORD = r"[A-Za-z0-9!#$%&''*+\-/=?^_`{|}~().]+@[A-Za-z0-9\-().]+", r"[\p{L}\p{M}\p{N}_]+"
+_CASED = "CASE WHEN t = upper(t) THEN upper({c}) WHEN substr(t, 1, 1) = upper(substr(t, 1, 1)) THEN upper(substr({c}, 1, 1)) || substr({c}, 2) ELSE {c} END"
+
+
+def _tokens(table: str, key: str, text: str) -> str:
+    """(key, pos, g, t, off): gaps, tokens, and where a token begins in bytes."""
+    every = f"(?s)(.*?)({_MAIL}|{_WORD})"
+    return f"""
+raw_{table} AS (SELECT {key} AS key, {text} AS txt, regexp_extract_all({text}, '{every}', 1) AS gs, regexp_extract_all({text}, '{every}', 2) AS ts FROM {table}),
+one_{table} AS (SELECT key, txt, unnest(range(len(ts))) AS pos, unnest(gs) AS g, unnest(ts) AS t FROM raw_{table}),
+tok_{table} AS (SELECT *, CAST(sum(strlen(g) + strlen(t)) OVER (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING) - strlen(t) AS BIGINT) AS off FROM one_{table})"""
+
+
+_DICT = f"dict(k, cs) AS (VALUES {_values(DICTIONARY.items())})"
+_FOUND = f"""
+found_{{0}} AS (
+  SELECT key, txt, off AS byte_offset, t AS typo, CASE WHEN len(cs) = 0 THEN 'Invalid' ELSE 'Corrections' END AS status,
+         coalesce(list_aggregate(list_transform(cs, lambda c: {_CASED.format(c="c")}), 'string_agg', ','), '') AS corrections, cs,
+         decode(encode(txt)[1:off]) AS pre
+  FROM tok_{{0}} JOIN dict ON lower(t) = k)"""
+
+
+def _found_sql(table, key, text):
+    return f"WITH {_DICT}, {_tokens(table, key, text)}, {_FOUND.format(table)}"
+
+
+_LINE = "CAST(length(pre) - length(replace(pre, chr(10), '')) + 1 AS BIGINT) AS line_num"
+_LINE_AT = "CAST(strlen(regexp_extract(pre, '[^\\n]*$')) AS BIGINT) AS line_byte_offset"
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("corrections", F.array_join("corrections", ","))
+
+
+def _findings(spark, sf_dir, table="documents", key="doc_id", text="text", keep=(), **lexicon) -> DataFrame:
+    lex = check.lexicon(spark, _dictionary(spark), **lexicon)
+    return check.findings(_table(spark, sf_dir, table), lex, text, [key, *keep])
+
+
+@query(_found_sql("documents", "doc_id", "text") + f"SELECT key AS doc_id, 'word' AS kind, byte_offset, {_LINE}, {_LINE_AT}, typo, status, corrections FROM found_documents")
+def typo_findings(spark, sf_dir):
+    """every finding of the documents, with its places and corrections."""
+    return _flat(_findings(spark, sf_dir))
+
+
+@query(_found_sql("documents", "doc_id", "text") + "SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS docs FROM found_documents JOIN documents ON key = doc_id GROUP BY lang")
+def typo_counts_by_lang(spark, sf_dir):
+    return _findings(spark, sf_dir, keep=["lang"]).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(_found_sql("documents", "doc_id", "text") + "SELECT source, lower(typo) AS typo, count(*) AS n FROM found_documents JOIN documents ON key = doc_id GROUP BY source, lower(typo)")
+def typo_counts_by_source(spark, sf_dir):
+    return _findings(spark, sf_dir, keep=["source"]).groupBy("source", F.lower("typo").alias("typo")).agg(F.count("*").alias("n"))
+
+
+@query(_found_sql("documents", "doc_id", "text") + f"SELECT key AS doc_id, byte_offset, {_LINE}, {_LINE_AT} FROM found_documents")
+def line_numbers(spark, sf_dir):
+    """Line numbers and byte offsets."""
+    return _findings(spark, sf_dir).select("doc_id", "byte_offset", "line_num", "line_byte_offset")
+
+
+@query(_found_sql("documents", "doc_id", "text") + "SELECT key AS doc_id, byte_offset, typo FROM found_documents WHERE status = 'Invalid'")
+def disallowed_words(spark, sf_dir):
+    """Words that the dictionary has without a correction."""
+    return _findings(spark, sf_dir).where("status = 'Invalid'").select("doc_id", "byte_offset", "typo")
+
+
+@query(_found_sql("documents", "doc_id", "text") + "SELECT (len(cs) = 1) AS fixable, count(*) AS n FROM found_documents GROUP BY ALL")
+def fixable_split(spark, sf_dir):
+    """F12."""
+    return _findings(spark, sf_dir).groupBy(check.is_fixable(F.col("corrections")).alias("fixable")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_DICT}, {_tokens('documents', 'doc_id', 'text')}, "
+    f"put AS (SELECT key, string_agg(g || CASE WHEN len(cs) = 1 THEN {_CASED.format(c='cs[1]')} ELSE t END, '' ORDER BY pos) AS body, sum(CASE WHEN len(cs) = 1 THEN 1 ELSE 0 END) AS n, max(off + strlen(t)) AS used FROM tok_documents LEFT JOIN dict ON lower(t) = k GROUP BY key) "
+    "SELECT doc_id, md5(coalesce(body, '') || decode(encode(text)[coalesce(used, 0) + 1:])) AS fixed_md5, CAST(coalesce(n, 0) AS INTEGER) AS n_fixed FROM documents LEFT JOIN put ON key = doc_id"
+)
+def fix_text(spark, sf_dir):
+    """The corrected texts."""
+    fixed = fix.fix_text(_table(spark, sf_dir, "documents").select("doc_id", "text"), check.lexicon(spark, _dictionary(spark)), "doc_id")
+    return fixed.select("doc_id", F.md5(F.col("fixed_text").cast("binary")).alias("fixed_md5"), "n_fixed")
+
+
+@query()
+def diff_text(spark, sf_dir):
+    """K8: unified diffs of what changes."""
+    fixed = fix.fix_text(_table(spark, sf_dir, "documents").select("doc_id", "text"), check.lexicon(spark, _dictionary(spark)), "doc_id")
+    return fix.diff_rows(fixed, "doc_id")
+
+
+def _over_sql(words: bool, names: bool, re_names: bool, re_words: bool) -> str:
+    over = check.interpret(WORDS if words else {})
+    rows = [(k, s, c) for k, s, c in over] + [(k, "Corrections" if c else "Invalid", c) for k, c in DICTIONARY.items() if not words or k not in WORDS]
+    named = check.interpret(IDENTIFIERS if names else {})
+    name_rows = _values(named or [("", "", [])])
+    skip_name = " OR ".join(f"regexp_matches(t, '{p}')" for p in IGNORE_IDENTIFIERS) if re_names else "false"
+    skip_word = " OR ".join(f"regexp_matches(t, '{p}')" for p in IGNORE_WORDS) if re_words else "false"
+    return (
+        f"WITH w(k, s, cs) AS (VALUES {_values(rows)}), i(ik, ist, ics) AS (VALUES {name_rows}), {_tokens('documents', 'doc_id', 'text')}, "
+        f"r AS (SELECT key, off, t, CASE WHEN ist IS NOT NULL THEN 'identifier' ELSE 'word' END AS kind, CASE WHEN {skip_name} THEN 'Valid' WHEN ist IS NOT NULL THEN ist WHEN {skip_word} THEN 'Valid' ELSE s END AS status, "
+        f"CASE WHEN ist IS NOT NULL THEN ics ELSE list_transform(cs, lambda c: {_CASED.format(c='c')}) END AS cs FROM tok_documents LEFT JOIN i ON t = ik LEFT JOIN w ON lower(t) = k) "
+        "SELECT key AS doc_id, kind, off AS byte_offset, t AS typo, status, coalesce(array_to_string(cs, ','), '') AS corrections FROM r WHERE status IS NOT NULL AND status <> 'Valid'"
+    )
+
+
+def _over(spark, sf_dir, **lexicon):
+    return _flat(_findings(spark, sf_dir, **lexicon)).select("doc_id", "kind", "byte_offset", "typo", "status", "corrections")
+
+
+@query(_over_sql(False, True, False, False))
+def ident_override(spark, sf_dir):
+    """A project's identifiers come first, by exact spelling."""
+    return _over(spark, sf_dir, identifiers=IDENTIFIERS)
+
+
+@query(_over_sql(True, False, False, False))
+def word_override(spark, sf_dir):
+    """A project's words come before the dictionary."""
+    return _over(spark, sf_dir, words=WORDS)
+
+
+@query(_over_sql(False, False, True, False))
+def ignore_ident_re(spark, sf_dir):
+    """F9."""
+    return _over(spark, sf_dir, ignore_identifiers=IGNORE_IDENTIFIERS)
+
+
+@query(_over_sql(True, False, False, True))
+def ignore_word_re(spark, sf_dir):
+    """F10."""
+    return _over(spark, sf_dir, words=WORDS, ignore_words=IGNORE_WORDS)
+
+
+@query(
+    _found_sql("documents", "doc_id", "text")
+    + ", b AS (SELECT doc_id, range(len(l)) AS r, l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), "
+    "e AS (SELECT doc_id, unnest(l) AS line, unnest(r) AS i FROM b) "
+    "SELECT key AS doc_id, byte_offset, typo FROM found_documents JOIN e ON e.doc_id = key AND i = length(pre) - length(replace(pre, chr(10), '')) WHERE NOT starts_with(line, 'The ')"
+)
+def ignore_blocks(spark, sf_dir):
+    """Nothing is found in lines that an expression covers."""
+    lex = check.lexicon(spark, _dictionary(spark))
+    return check.findings(_table(spark, sf_dir, "documents"), lex, keep=["doc_id"], ignore=[r"(?Rm)^The .*$"]).select("doc_id", "byte_offset", "typo")
+
+
+@query(
+    "WITH c AS (SELECT 'p_type' AS col, p_type AS x FROM part UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders), "
+    "t AS (SELECT col, unnest(regexp_extract_all(x, '[A-Za-z0-9_]+')) AS token FROM c) SELECT col, token, count(*) AS n FROM t WHERE NOT regexp_full_match(token, '[0-9_]+') GROUP BY ALL"
+)
+def ident_tokens_simple(spark, sf_dir):
+    """T1, F4."""
+    parts = _table(spark, sf_dir, "part").select(F.lit("p_type").alias("col"), F.col("p_type").alias("x"))
+    parts = parts.unionByName(_table(spark, sf_dir, "orders").select(F.lit("o_orderpriority").alias("col"), F.col("o_orderpriority").alias("x")))
+    return parts.select("col", F.explode(T.identifiers(F.col("x"))).alias("token")).groupBy("col", "token").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_tokens('documents', 'doc_id', 'text')} SELECT key AS doc_id, count(*) AS n, sum(strlen(t))::BIGINT AS bytes FROM tok_documents "
+    "WHERE NOT contains(t, '@') AND NOT regexp_full_match(t, '[0-9_]+') AND NOT regexp_full_match(t, '[0-9a-f]{32,}') GROUP BY key"
+)
+def ident_tokens_documents(spark, sf_dir):
+    """The whole grammar, over all documents."""
+    one = _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.identifiers(F.col("text"))).alias("t"))
+    return one.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).cast("bigint").alias("bytes"))
+
+
+_SPLIT = "regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(token, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+')"
+_WORDS_SQL = (
+    "WITH c AS (SELECT 'p_name' AS col, p_name AS x FROM part UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'props', props FROM events), "
+    "t AS (SELECT col, unnest(regexp_extract_all(x, '[A-Za-z0-9_]+')) AS token FROM c), "
+    f"w AS (SELECT col, unnest({_SPLIT}) AS word FROM t WHERE NOT regexp_full_match(token, '[0-9_]+')) "
+    "SELECT col, word, CASE WHEN regexp_full_match(word, '[0-9]+') THEN 'None' WHEN regexp_full_match(word, '[A-Z]+') THEN 'Upper' WHEN regexp_full_match(word, '[A-Z].*') THEN 'Title' ELSE 'Lower' END AS kind, count(*) AS n FROM w GROUP BY ALL"
+)
+
+
+def _words(spark, sf_dir):
+    parts = [_table(spark, sf_dir, t).select(F.lit(c).alias("col"), F.col(c).alias("x")) for t, c in (("part", "p_name"), ("customer", "c_name"), ("events", "props"))]
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    one = all_.select("col", F.explode(F.flatten(F.transform(T.identifiers(F.col("x")), T.words))).alias("word"))
+    return one.groupBy("col", "word", T.word_case(F.col("word")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(_WORDS_SQL)
+def word_split(spark, sf_dir):
+    """T18, T19, F5."""
+    return _words(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({_WORDS_SQL}) WHERE kind <> 'None'")
+def number_word_filter(spark, sf_dir):
+    """F11."""
+    return _words(spark, sf_dir).where("kind <> 'None'")
+
+
+@query(
+    f"WITH {_DICT}, {_tokens('conversations', 'conv_id * 1000 + turn', 'text')} SELECT k, count(*) AS n FROM tok_conversations JOIN dict ON lower(t) = k GROUP BY k"
+)
+def word_lookup(spark, sf_dir):
+    """Words joined with the dictionary."""
+    words = _table(spark, sf_dir, "conversations").select(F.explode(F.flatten(F.transform(T.identifiers(F.col("text")), T.words))).alias("w"))
+    d = _dictionary(spark).select(F.col("key").alias("k"))
+    return words.join(d, F.lower("w") == F.col("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query(_found_sql("conversations", "conv_id * 1000 + turn", "text") + f"SELECT key // 1000 AS conv_id, key % 1000 AS turn, byte_offset, {_LINE}, typo, corrections FROM found_conversations")
+def conversations_check(spark, sf_dir):
+    lex = check.lexicon(spark, _dictionary(spark))
+    return _flat(check.findings(_table(spark, sf_dir, "conversations"), lex, keep=["conv_id", "turn"])).select("conv_id", "turn", "byte_offset", "line_num", "typo", "corrections")
+
+
+@query()
+def pages_check(spark, sf_dir):
+    lex = check.lexicon(spark, _dictionary(spark))
+    return check.findings(_table(spark, sf_dir, "pages"), lex, "html", ["page_id"])
+
+
+def _literal(kind: str, pattern: str, table: str, key: str, column: str):
+    def run(spark, sf_dir):
+        return _table(spark, sf_dir, table).select(key, T.literal_count(F.col(column), kind).alias("n")).where("n > 0")
+
+    run.__name__ = f"literal_{kind}_{table}"
+    query(f"SELECT * FROM (SELECT {key}, CAST(len(regexp_extract_all({column}, '{pattern}')) AS INTEGER) AS n FROM {table}) WHERE n > 0")(run)
+
+
+_LITERAL_SQL = {
+    "email": _MAIL, "uuid": "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9A-F]{8}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{4}-[0-9A-F]{12}",
+    "hash": "[0-9a-f]{32,}|[0-9A-F]{32,}", "ordinal": "_*[0-9]+(?:st|nd|rd|th)_*", "hex": "0[xX][0-9a-fA-F_'']+[A-Za-z0-9_]*", "decimal": "[0-9_'']+", "printf": "%[A-Za-z0-9_]+",
+    "jwt": r"ey[A-Za-z0-9_\-]{20,}\.ey[A-Za-z0-9_\-]{20,}\.[A-Za-z0-9_\-]{20,}", "ssh_key": r"AAAAC3NzaC1lZDI1NTE5AAAAI[A-Za-z0-9+/]{43}", "escape": r"\\+[A-Za-z0-9_]*",
+}
+for _kind, _pattern in _LITERAL_SQL.items():
+    _literal(_kind, _pattern, "documents", "doc_id", "text")
+_literal("email", _MAIL, "pages", "page_id", "html")
+_literal("escape", _LITERAL_SQL["escape"], "pages", "page_id", "html")
+
+
+@query()
+def literal_url_pages(spark, sf_dir):
+    """Web addresses are skipped whole; they begin at each page's address."""
+    return _table(spark, sf_dir, "pages").select("page_id", T.literal_count(F.col("url"), "url").alias("n"), F.size(T.identifiers(F.col("url"))).alias("identifiers"))
+
+
+_CASES = [("foo", "Lower"), ("foo", "None"), ("foo", "Title"), ("foo", "Upper"), ("fOo", "None"), ("élan", "Title"), ("naïve", "Upper")]
+
+
+@query(
+    f"WITH v(word, kind) AS (VALUES {_values(_CASES)}) SELECT word, kind, CASE kind WHEN 'Title' THEN translate(substr(word, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr(word, 2) "
+    "WHEN 'Upper' THEN translate(word, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE word END AS fixed FROM v"
+)
+def case_correct(spark, sf_dir):
+    """T20."""
+    rows = spark.createDataFrame(_CASES, "word string, kind string")
+    return rows.select("word", "kind", T.case_correct(F.col("word"), F.col("kind")).alias("fixed"))
+
+
+@query(_found_sql("documents", "doc_id", "text") + "SELECT count(*) > 0 AS any_typo, false AS any_error, CASE WHEN count(*) > 0 THEN 2 ELSE 0 END AS exit_code FROM found_documents")
+def status_flags(spark, sf_dir):
+    """A1, K13."""
+    return check.status_flags(_findings(spark, sf_dir))
+
+
+@query(
+    _found_sql("documents", "doc_id", "text")
+    + f", m AS (SELECT key, {_LINE}, {_LINE_AT}, typo, status, list_transform(cs, lambda c: '`' || {_CASED.format(c='c').replace('t ', 'typo ').replace('(t,', '(typo,').replace('(t)', '(typo)')} || '`') AS cs FROM found_documents) "
+    "SELECT key || ':' || line_num || ':' || (line_byte_offset + 1) || ': `' || typo || '`' || CASE WHEN status = 'Invalid' THEN ' is disallowed' ELSE ' should be ' || array_to_string(cs, ', ') END AS value FROM m"
+)
+def brief_report(spark, sf_dir):
+    """K2."""
+    return sinks.brief(_findings(spark, sf_dir), "doc_id")
+
+
+@query()
+def long_report(spark, sf_dir):
+    """K3."""
+    return sinks.long(_findings(spark, sf_dir, "conversations", "conv_id", keep=["turn"]).withColumn("path", F.concat_ws("/", "conv_id", "turn")), _table(spark, sf_dir, "conversations").withColumn("path", F.concat_ws("/", "conv_id", "turn")))
+
+
+@query()
+def json_report(spark, sf_dir):
+    """K4."""
+    return sinks.json_lines(_findings(spark, sf_dir), "doc_id")
+
+
+@query()
+def sarif_report(spark, sf_dir):
+    """K5."""
+    return sinks.sarif(_findings(spark, sf_dir, "benchmark", "item_id"), "item_id")
+
+
+@query()
+def annotation_report(spark, sf_dir):
+    """K12."""
+    return sinks.annotations(_findings(spark, sf_dir), "doc_id")
+
+
+@query()
+def highlight_identifiers(spark, sf_dir):
+    """K9, W5."""
+    return _table(spark, sf_dir, "benchmark").select("item_id", sinks.highlight(F.col("text")).alias("shown"))
+
+
+@query()
+def highlight_words(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", sinks.highlight(F.col("text"), "words").alias("shown"))
+
+
+@query()
+def parse_identifiers(spark, sf_dir):
+    """F4."""
+    return sinks.parse_lines(_table(spark, sf_dir, "documents"), "identifiers", "doc_id")
+
+
+@query()
+def parse_words(spark, sf_dir):
+    """F5."""
+    return sinks.parse_lines(_table(spark, sf_dir, "documents"), "words", "doc_id")
+
+
+_TYPES = {"html": ["*.html", "*.htm"], "js": ["*.js"], "json": ["*.json"], "lock": ["package-lock.json", "*.lock"], "js-in": ["*.js.in"]}
+_PATHS = ["leftpad.js", "a/index.html", "index.htm", "leftpad.ada", "package-lock.json", "index.html.in", "index.html.in.in", "foo.js.in", ".in"]
+_GLOB_ROWS = filetypes.ranked(_TYPES)
+_STRIP = "CASE WHEN {n} LIKE '%.in' AND length({n}) > 3 THEN substr({n}, 1, length({n}) - 3) END"
+
+
+@query(
+    f"WITH RECURSIVE p(path) AS (VALUES {_values([(p,) for p in _PATHS])}), g(kind, re, r) AS (VALUES {_values([(k, f'^{filetypes.glob_regex(g)}$', r) for k, g, r in _GLOB_ROWS])}), "
+    "n AS (SELECT path, split_part(path, '/', -1) AS name, 0 AS d FROM p UNION ALL SELECT path, substr(name, 1, length(name) - 3), d + 1 FROM n WHERE name LIKE '%.in' AND length(name) > 3), "
+    "m AS (SELECT path, d, arg_max(kind, r) AS kind FROM n JOIN g ON regexp_matches(name, re) GROUP BY path, d) "
+    "SELECT p.path, coalesce((SELECT arg_min(kind, d) FROM m WHERE m.path = p.path), '-') AS file_type FROM p"
+)
+def file_type_match(spark, sf_dir):
+    """J8, W7, W8, F3."""
+    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", F.coalesce(filetypes.file_type(F.col("path"), _TYPES), F.lit("-")).alias("file_type"))
+
+
+@query(f"WITH g(kind, gl, r) AS (VALUES {_values(_GLOB_ROWS)}), l AS (SELECT gl, arg_max(kind, r) AS kind FROM g GROUP BY gl) SELECT kind AS type, string_agg(gl, ', ' ORDER BY gl) AS globs FROM l GROUP BY kind")
+def type_list(spark, sf_dir):
+    """K11, A11."""
+    return filetypes.type_list(spark.createDataFrame(_GLOB_ROWS, "type string, glob string, rank int"))
+
+
+@query()
+def type_policies(spark, sf_dir):
+    """J10, D8, D13, D14."""
+    schema = "file_type string, binary boolean, check_filename boolean, check_file boolean, unicode boolean, locale string"
+    return spark.createDataFrame(config.BUILT_IN.policies(), schema)
+
+
+CLUSTERS = """# color <verified> (level 10)
+A Cv: color / B: colour
+A Cv: colors / B: colours
+
+# realize <verified> (level 10)
+A B Z: realize / Bv: realise
+A: realizes / B: realises / Z: realizes | <V> (-) -- to make real
+
+# gray (level 20)
+A: gray / B: grey # not verified
+
+# center <verified> (level 10)
+A: center / B: centre / Ax: centar
+## note
+"""
+
+
+def _clusters(spark):
+    return dialect.parse(spark.createDataFrame([(CLUSTERS,)], "value string"))
+
+
+#: The same in plain rows: (cluster, entry, word, category, tag).
+_CLUSTER_ROWS = [
+    (0, 0, "color", "A", None), (0, 0, "color", "C", "v"), (0, 0, "colour", "B", None),
+    (0, 1, "colors", "A", None), (0, 1, "colors", "C", "v"), (0, 1, "colours", "B", None),
+    (1, 0, "realize", "A", None), (1, 0, "realize", "B", None), (1, 0, "realize", "Z", None), (1, 0, "realise", "B", "v"),
+    (1, 1, "realizes", "A", None), (1, 1, "realises", "B", None), (1, 1, "realizes", "Z", None),
+    (2, 0, "gray", "A", None), (2, 0, "grey", "B", None),
+    (3, 0, "center", "A", None), (3, 0, "centre", "B", None), (3, 0, "centar", "A", "x"),
+]
+_INFER = f"""WITH r(cluster, entry, word, category, tag) AS (VALUES {_values(_CLUSTER_ROWS)}),
+z AS (SELECT * FROM r UNION ALL SELECT cluster, entry, word, 'Z', tag FROM r a WHERE category = 'B' AND NOT EXISTS (SELECT 1 FROM r b WHERE b.cluster = a.cluster AND b.entry = a.entry AND b.category = 'Z')),
+c AS (SELECT * FROM z UNION ALL SELECT cluster, entry, word, 'C', tag FROM z a WHERE category = 'Z' AND NOT EXISTS (SELECT 1 FROM z b WHERE b.cluster = a.cluster AND b.entry = a.entry AND b.category = 'C')),
+d AS (SELECT * FROM c UNION ALL SELECT cluster, entry, word, 'D', tag FROM c a WHERE category = 'B' AND NOT EXISTS (SELECT 1 FROM c b WHERE b.cluster = a.cluster AND b.entry = a.entry AND b.category = 'D'))"""
+
+
+@query(_INFER + " SELECT cluster, entry, word, category, coalesce(tag, '.') AS tag FROM d")
+def dialect_infer(spark, sf_dir):
+    """V1-V6."""
+    return dialect.infer(_clusters(spark)).select("cluster", "entry", "word", "category", F.coalesce("tag", F.lit(".")).alias("tag"))
+
+
+_COMPILED = (
+    _INFER
+    + """, v AS (SELECT * FROM d WHERE cluster <> 2),
+m AS (SELECT cluster, entry, word, bit_or(CASE category WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 WHEN '_' THEN 15 ELSE 0 END) AS mask FROM v GROUP BY ALL),
+s AS (SELECT cluster, entry, cat, CASE WHEN count(DISTINCT word) FILTER (WHERE coalesce(tag, '.') = '.') = 1 THEN list_sort(list_distinct(list(word) FILTER (WHERE coalesce(tag, '.') = '.'))) ELSE list_sort(list_distinct(list(word) FILTER (WHERE coalesce(tag, '.') <> 'x'))) END AS ws
+      FROM v JOIN (VALUES ('A'), ('B'), ('C'), ('D')) k(cat) ON category IN (cat, '_') GROUP BY ALL),
+l AS (SELECT m.*, row_number() OVER (PARTITION BY word ORDER BY cluster, entry) AS nth, bool_or(mask = 15) OVER (PARTITION BY word) AS always FROM m),
+k AS (SELECT word, mask, cluster, entry FROM l WHERE nth = 1 AND NOT always)"""
+)
+
+
+@query(_COMPILED + " SELECT word, mask, cat, array_to_string(ws, ',') AS spellings FROM k JOIN s USING (cluster, entry)")
+def dialect_compile(spark, sf_dir):
+    """V7, V8, V10, A5-A8."""
+    compiled = dialect.compile(dialect.infer(_clusters(spark)))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cat"), F.array_join(c, ",").alias("spellings")) for c in dialect.VALID]))
+    return compiled.select("word", "mask", each.alias("x")).select("word", "mask", "x.cat", "x.spellings")
+
+
+@query(_COMPILED + " SELECT word, CASE WHEN mask & 2 <> 0 THEN 'Valid' ELSE 'Corrections' END AS status, CASE WHEN mask & 2 <> 0 THEN '' ELSE array_to_string(ws, ',') END AS corrections FROM k JOIN s USING (cluster, entry) WHERE cat = 'B'")
+def dialect_select(spark, sf_dir):
+    """British."""
+    compiled = dialect.compile(dialect.infer(_clusters(spark)))
+    verdict = dialect.status(F.col("mask"), F.col("B"), dialect.VALID["B"])
+    return compiled.select("word", verdict["status"].alias("status"), F.array_join(verdict["corrections"], ",").alias("corrections"))
+
+
+_CHAINED = [("colr", ["color"]), ("relize", ["realizes", "release"]), ("bad", []), ("cntr", ["center", "centre"])]
+
+
+@query(
+    _COMPILED + f", g AS (SELECT word, mask, ws FROM k JOIN s USING (cluster, entry) WHERE cat = 'B'), q(key, cs) AS (VALUES {_values(_CHAINED)}), "
+    "e AS (SELECT key, unnest(cs) AS c FROM q), f AS (SELECT key, CASE WHEN g.word IS NULL OR mask & 2 <> 0 THEN [c] ELSE ws END AS fs FROM e LEFT JOIN g ON g.word = c), "
+    "h AS (SELECT key, list_sort(list_distinct(flatten(list(fs)))) AS fs FROM f GROUP BY key) "
+    "SELECT key, CASE WHEN len(cs) = 0 THEN 'Invalid' ELSE 'Corrections' END AS status, coalesce(array_to_string(fs, ','), '') AS corrections FROM q LEFT JOIN h USING (key) "
+    "UNION ALL SELECT word, CASE WHEN mask & 2 <> 0 THEN 'Valid' ELSE 'Corrections' END, CASE WHEN mask & 2 <> 0 THEN '' ELSE array_to_string(ws, ',') END FROM g"
+)
+def dialect_chain(spark, sf_dir):
+    """D3, D6, J4, A10."""
+    compiled = dialect.compile(dialect.infer(_clusters(spark)))
+    words = spark.createDataFrame(_CHAINED, "key string, corrections array<string>")
+    return _flat(dialect.chain(words, compiled, "en-gb"))
+
+
+@query("WITH " + _COMPILED.removeprefix("WITH ") + " SELECT a.word, b.word AS variant FROM (SELECT DISTINCT cluster, entry, word FROM r WHERE cluster <> 2 AND coalesce(tag, '.') <> 'x') a JOIN (SELECT DISTINCT cluster, entry, word FROM r WHERE cluster <> 2 AND coalesce(tag, '.') <> 'x') b USING (cluster, entry) WHERE a.word <> b.word")
+def dialect_variants(spark, sf_dir):
+    """V9."""
+    return dialect.variants(_clusters(spark))
+
+
+_ENTRIES = [(0, "Foo", ["xyz", "abc"]), (1, "foo", ["bar", "xyz"]), (2, "colour", ["color"]), (3, "cyc", ["cycle"]), (4, "cycle", ["cyc"]), (5, "allowd", ["allowed"]), (6, "it's", ["its"]), (7, "neighourhood", ["neighborhood"]), (8, "solo", ["so", "s-o"])]
+_ENTRY_SCHEMA = "pos int, key string, corrections array<string>"
+_MERGED = f"WITH e(pos, key, cs) AS (VALUES {_values(_ENTRIES)}), x AS (SELECT lower(key) AS key, pos, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM e), f AS (SELECT key, c, min(pos * 1000 + i) AS o FROM x GROUP BY key, c), m AS (SELECT key, list(c ORDER BY o) AS cs FROM f GROUP BY key)"
+_BOTH = [("neighborhood", "neighbourhood"), ("neighbourhood", "neighborhood"), ("color", "colour"), ("colour", "color")]
+
+
+def _entries(spark):
+    return spark.createDataFrame(_ENTRIES, _ENTRY_SCHEMA)
+
+
+@query(_MERGED + " SELECT key, array_to_string(cs, ',') AS corrections FROM m")
+def dict_merge(spark, sf_dir):
+    """A3."""
+    return _flat(curate.merge(_entries(spark)))
+
+
+_GOODS = [("the", ["teh", "hte"]), ("ten", ["teh"])]
+
+
+@query(f"WITH g(good, bads) AS (VALUES {_values(_GOODS)}), x AS (SELECT good, unnest(bads) AS key FROM g) SELECT key, string_agg(good, ',' ORDER BY good) AS corrections FROM x GROUP BY key")
+def dict_invert(spark, sf_dir):
+    """A4."""
+    return _flat(curate.invert(spark.createDataFrame(_GOODS, "good string, bads array<string>")))
+
+
+@query(_MERGED + " SELECT key, array_to_string(cs, ',') AS corrections FROM m WHERE key NOT IN (SELECT lower(unnest(cs)) FROM m)")
+def dict_cycle_removal(spark, sf_dir):
+    """J12."""
+    return _flat(curate.without_cycles(curate.merge(_entries(spark))))
+
+
+@query(_MERGED + " SELECT key, array_to_string(cs, ',') AS corrections FROM m WHERE key NOT IN ('colour', 'color', 'allowd')")
+def dict_anti_join(spark, sf_dir):
+    """J11."""
+    words = spark.createDataFrame([("Colour",), ("color",), ("allowd",)], "word string")
+    return _flat(curate.without(curate.merge(_entries(spark)), words))
+
+
+@query(
+    _MERGED + f", v(w, a) AS (VALUES {_values(_BOTH)}), b AS (SELECT key, c, o, coalesce((SELECT arg_min(a, (levenshtein(key, a), a)) FROM v WHERE w = c AND levenshtein(key, a) < levenshtein(key, c)), c) AS best FROM f), "
+    "n AS (SELECT key, best, min(o) AS o FROM b GROUP BY key, best) SELECT key, string_agg(best, ',' ORDER BY o) AS corrections FROM n GROUP BY key"
+)
+def dict_best_match(spark, sf_dir):
+    """J13, W9, T23."""
+    variants = spark.createDataFrame(_BOTH, "word string, variant string")
+    return _flat(curate.best_match(curate.merge(_entries(spark)), variants))
+
+
+@query()
+def dict_process(spark, sf_dir):
+    """All of curation."""
+    words = spark.createDataFrame([("colour",), ("color",)], "word string")
+    allowed = spark.createDataFrame([("allowd",)], "word string")
+    return _flat(curate.process(_entries(spark), words, allowed, spark.createDataFrame(_BOTH, "word string, variant string")))
+
+
+@query()
+def dict_sources(spark, sf_dir):
+    """S12-S14."""
+    line = lambda *rows: spark.createDataFrame([(r,) for r in rows], "value string")
+    lists = dictionaries.ragged(line("teh,the", "hte,the,hate", "bad")).unionByName(dictionaries.arrows(line("recieve->receive", "ther->there, their,")))
+    return _flat(lists.unionByName(dictionaries.inverted(line('{"the": ["teh", "thn"], "ten": ["teh"]}'))))
+
+
+@query(_found_sql("documents", "doc_id", "text") + "SELECT lower(typo) AS typo, count(*) AS n FROM found_documents GROUP BY lower(typo)")
+def streaming_counts(spark, sf_dir):
+    """The same findings from a stream of files."""
+    return stream.counts(spark, f"{sf_dir}/documents.parquet", check.lexicon(spark, _dictionary(spark)))
