@@ -1,9 +1,9 @@
 """Near duplicates by SimHash, found with a Gray-order hierarchical index.
 
 A document's features are its distinct words; each of 256 fingerprint bits is the majority of that
-bit over the features' hashes. The first 64 bits are searched exactly: two fingerprints that differ
-in at most ``max_bits`` of ten blocks must agree on two blocks, so every fingerprint goes to the
-buckets of its 45 pairs of blocks. Within a bucket the fingerprints are sorted by Gray rank, runs of
+bit over the features' hashes. The first and the second 64 bits are searched exactly, each by itself:
+codes that differ in at most ``max_bits`` bits differ in at most so many of ten blocks and agree on two,
+so every code goes to the buckets of its 45 pairs of blocks. Within a bucket the fingerprints are sorted by Gray rank, runs of
 them become leaves, runs of leaves become upper nodes, and a node holds the bits on which all below
 it agree (mask and pattern; a child keeps only the bits that its parent doesn't have). A search
 walks down, adds up the differences on each node's own bits, and drops the whole group once they
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from . import _scale, _text
 
-MAX_BITS = 8  # of the 64 that are searched
+MAX_BITS = 8  # of the 64 of a code that is searched
+SEARCHED = 2  # codes
 MAX_ALL = 48  # of all 256
 BLOCKS = 10
 LEAF, FAN = 16, 8
@@ -163,7 +164,7 @@ def _searcher(max_bits: int):
         bucket, code, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
         i, j = search(bucket, code, max_bits)
         if len(i):
-            once = _first_pair(code[i] ^ code[j]) == bucket[i] >> 14  # the same pair meets in other buckets too
+            once = _first_pair(code[i] ^ code[j]) == (bucket[i] >> 14) % len(PAIRS)  # they meet in other buckets too
             i, j = i[once], j[once]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], names=["a", "b"])
 
@@ -188,16 +189,21 @@ def _searcher(max_bits: int):
 
 
 def near_pairs(unique: DataFrame, max_bits: int = MAX_BITS, max_all: int = MAX_ALL) -> DataFrame:
-    """(a, b, bits): pairs of representatives that differ in at most ``max_bits`` of f0 and
-    ``max_all`` of all 256 bits. unique: (rep, f0..f3), no fingerprint twice."""
+    """(a, b, bits): pairs of representatives that differ in at most ``max_bits`` bits of one of the
+    codes that are searched, and ``max_all`` of all 256. unique: (rep, f0..f3), no fingerprint twice.
+    A pair comes once for each code by which it is found."""
 
-    def block(i):
+    def block(word, i):
         s, n = SPANS[i]
-        return F.shiftrightunsigned("f0", s).bitwiseAND(F.lit((1 << n) - 1))
+        return F.shiftrightunsigned(word, s).bitwiseAND(F.lit((1 << n) - 1))
 
-    keys = [(F.lit(t << 14) + F.shiftleft(block(i), 7) + block(j)).cast("int") for t, (i, j) in enumerate(PAIRS)]
+    places = [
+        F.struct((F.lit((k * len(PAIRS) + t) << 14) + F.shiftleft(block(word, i), 7) + block(word, j)).cast("int").alias("bucket"), F.col(word).alias("code"))
+        for k, word in enumerate(WORDS[:SEARCHED])
+        for t, (i, j) in enumerate(PAIRS)
+    ]
     n = _scale.partitions(unique.sparkSession)
-    rows = unique.select(F.explode(F.array(*keys)).alias("bucket"), "f0", "rep")
+    rows = unique.select("rep", F.explode(F.array(*places)).alias("p")).select("p.bucket", "p.code", "rep")
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
     pairs = map_arrow(rows, _searcher(max_bits), "a bigint, b bigint")
     left = unique.select(F.col("rep").alias("a"), *[F.col(w).alias(f"a{w}") for w in WORDS])
