@@ -35,6 +35,11 @@ LITERALS = {
 }
 
 
+#: A short word of letters alone, and what may follow it if it begins no literal; tried first, as nearly
+#: all words are such. (Of letters alone a hash has 32 or more.)
+_PLAIN = r"""\p{L}{1,31}+[.!?]*+(?:[\s,;"<>\[\]]|\z)"""
+
+
 def _alternatives(word: str) -> str:
     other = rf"(?!{word})(?s:.)"
     ignorable = rf"(?!{word})[^\\%#]"
@@ -42,7 +47,7 @@ def _alternatives(word: str) -> str:
         other, ignorable = "[^A-Za-z0-9_]", r"[^A-Za-z0-9_\\%#]"
     separator = rf"(?>(?:{ignorable})++|(?!{word}))"
     skipped = "|".join(f"(?>{p.replace('{W}', word)}){separator}" for p in LITERALS.values())
-    return f"{skipped}|{other}(?:{ignorable})*+"
+    return f"(?!{_PLAIN})(?>{skipped})|{other}(?:{ignorable})*+"
 
 
 def pattern(word: str) -> str:

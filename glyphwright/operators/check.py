@@ -24,6 +24,8 @@ from . import dialect
 BUILT_IN = ("O_WRONLY", "dBA")
 #: Keys up to which a lexicon is also used as a set within the row, and bytes up to which it is broadcast.
 SET_KEYS, BROADCAST_BYTES = 200_000, 64 << 20
+#: What an identifier of more than one word, or of other signs than letters, has somewhere.
+_SEVERAL = r"[^\p{IsLowercase}\p{IsUppercase}]|\p{IsLowercase}\p{IsUppercase}|\p{IsUppercase}\p{IsUppercase}\p{IsLowercase}"
 _NONE = "cast(array() as array<string>)"
 _ENTRY = "key string, status string, corrections array<string>"
 
@@ -68,6 +70,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * 100 <= BROADCAST_BYTES else df
 
 
+def _once(df: DataFrame, keep: Sequence[Column], **made: Column) -> DataFrame:
+    """``keep`` and the columns ``made``, which are worked out once a row whatever is done with them."""
+    out = df.select(*keep, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("__made"))
+    return out.select(*[c for c in out.columns if c != "__made"], *[F.col(f"__made.{k}").alias(k) for k in made])
+
+
 def _any(text: Column, patterns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in patterns], F.lit(False))
 
@@ -115,20 +123,20 @@ def findings(rows: DataFrame, lex: Lexicon, text: str = "text", keep: Sequence[s
     ship(rows.sparkSession)
     sets = lex.sets()
     t = F.col("__t")
-    base = rows.select(*[F.col(c) for c in keep], F.col(text).alias("__t")).where(t.isNotNull())
-    if unicode:
-        base = base.withColumns({"__g": T.gaps(t), "__i": T.identifiers(t)})
-    else:
-        base = base.where(T.is_ascii(t)).withColumns({"__g": T.gaps(t), "__i": T.identifiers(t)})
+    own = [F.col(c) for c in keep]
+    base = rows.select(*own, F.col(text).alias("__t")).where(t.isNotNull() if unicode else t.isNotNull() & T.is_ascii(t))
+    # Each explode of one struct keeps the optimizer from working out its costly parts again in filters.
+    base = _once(base, [*own, t], __i=T.identifiers(t))
     numbered = F.transform("__i", lambda x, i: F.struct(i.alias("at"), x.alias("token")))
     if sets is not None:
         names, words = sorted(sets[0]), sorted(sets[1])
         known = lambda x, keys: x.isin(keys) if keys else F.lit(False)
-        numbered = F.filter(numbered, lambda s: known(s["token"], names) | F.exists(T.words(s["token"]), lambda w: known(F.lower(w), words)))
-    base = base.withColumn("__c", numbered).where(F.size("__c") > 0)
+        several = lambda x: F.rlike(x, F.lit(_SEVERAL)) & F.exists(T.words(x), lambda w: known(F.lower(w), words))
+        numbered = F.filter(numbered, lambda s: known(s["token"], names) | known(F.lower(s["token"]), words) | several(s["token"]))
+    base = _once(base, [*own, t, F.col("__i")], __c=numbered).where(F.size("__c") > 0)
+    base = _once(base, [*own, t, F.col("__i"), F.col("__c")], __g=T.gaps(t))
     if ignore:
         base = base.withColumn("__b", ignore_blocks(t, ignore))
-    own = [F.col(c) for c in keep]
     more = [F.col("__b")] if ignore else []
     one = base.select(*own, "__t", "__g", "__i", *more, F.explode("__c").alias("__x")).select(*own, "__t", "__g", "__i", *more, F.col("__x.at").alias("__at"), F.col("__x.token").alias("__token"))
     n_words = len(sets[1]) if sets is not None else lex.words.count()

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 _shipped: set[str] = set()
 
@@ -32,6 +33,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with the package at hand in the workers."""
+    """``df.mapInArrow`` with the package at hand in the workers, for columns of any name."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    names = df.columns
+    if not any(set(c) & set(".`") for c in names):
+        return df.mapInArrow(function, schema)
+    # mapInArrow takes dots for fields of structs, so the columns go by number meanwhile.
+    import pyarrow as pa
+
+    plain = [f"c{i}" for i in range(len(names))]
+    out = list(schema.names) if isinstance(schema, StructType) else None
+    inner = StructType([StructField(f"r{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)]) if out else schema
+
+    def renamed(batches):
+        for b in function(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=[f"r{i}" for i in range(len(out))]) if out else b
+
+    found = df.toDF(*plain).mapInArrow(renamed, inner)
+    return found.toDF(*out) if out else found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _clean(parts):
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ragged(lines: DataFrame) -> DataFrame:
