@@ -29,7 +29,7 @@ from . import _scale, _text
 
 MAX_BITS = 8  # of the 64 of a code that is searched
 SEARCHED = 2  # codes
-MAX_ALL = 48  # of all 256
+MAX_ALL = 40  # of all 256
 BLOCKS = 10
 LEAF, FAN = 16, 8
 WORDS = ("f0", "f1", "f2", "f3")
