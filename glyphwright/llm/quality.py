@@ -188,7 +188,8 @@ def sample(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows
     """(doc_ids, statistics, labels) of at most ``max_rows`` labelled documents."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("id")).agg((F.avg(target) >= 0.5).cast("int").alias("y"))
     known = _scale.stored(known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_rows), "labels")
-    chosen = docs.join(F.broadcast(known), docs["doc_id"] == known["id"]).select("id", "y", "text")  # max_rows of 12 bytes
+    texts = docs.select("doc_id", "text")
+    chosen = texts.join(F.broadcast(known), texts["doc_id"] == known["id"]).select("id", "y", "text")  # max_rows of 12 bytes
     rows = _measured(chosen, ["id", "y"]).collect()
     rows.sort(key=lambda r: (r.id, r.x))
     return np.array([r.id for r in rows]), np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float)
