@@ -70,11 +70,9 @@ def file_type(path: Column, types: Mapping[str, Sequence[str]] = DEFAULT_TYPES,
             out = F.when(test, kind) if out is None else out.when(test, kind)
         return out if out is not None else F.lit(None).cast("string")
 
-    found = match(name)
-    for _ in range(in_depth):
-        name = F.when(F.endswith(name, F.lit(".in")) & (F.length(name) > 3), F.substr(name, F.lit(1), F.length(name) - 3))
-        found = F.coalesce(found, match(name))
-    return found
+    # The chain stands once, over the name and what is left of it without endings.
+    shorter = [F.when(F.rlike(name, F.lit(rf"^.+(?:\.in){{{k}}}$")), F.substr(name, F.lit(1), F.length(name) - 3 * k)) for k in range(1, in_depth + 1)]
+    return F.get(F.filter(F.transform(F.array(name, *shorter), match), lambda x: x.isNotNull()), F.lit(0))
 
 
 def match_table(paths: DataFrame, globs: DataFrame, path: str = "path") -> DataFrame:
