@@ -35,44 +35,101 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "Apache-2.0/short": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/notice": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
-        "express or implied. See the License for the specific language governing permissions and limitations under the License."
+        "Licensed under the Apache License, Version 2.0 "
+        '(the "License"); you may not use '
+        "this file except in compliance with the License. You may "
+        "obtain a copy of the License at "
+        "http://www.apache.org/"
+        "licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS '
+        'IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+        "KIND, either express or implied. See the License for "
+        "the specific language governing permissions and limitations under the License."
     ),
     "MIT/short": "Released under the MIT License.",
     "MIT": (
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
-        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        "Permission is hereby granted, free of charge, to any "
+        "person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the '
+        "Software without restriction, including without limitation the rights to "
+        "use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included "
+        "in all copies or substantial portions of the Software. THE "
+        'SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF '
+        "ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+        "AND NONINFRINGEMENT."
     ),
     "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-        "copyright notice and this permission notice appear in all copies."
+        "Permission to use, copy, modify, and/or "
+        "distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies."
     ),
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
-        "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
-        "provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
-        "derived from this software without specific prior written permission."
+        "Redistribution and use in source and binary forms, with or "
+        "without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. Neither "
+        "the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."
+    ),
+    "BSD/short": (
+        "Use of this source code is governed by a "
+        "BSD-style license that can be found in the LICENSE "
+        "file."
+    ),
+    "GPL-3.0/short": (
+        "This work is licensed under the GNU General Public License, "
+        "version 3."
+    ),
+    "GPL-2.0/short": (
+        "This work is licensed under the GNU General Public License, "
+        "version 2."
     ),
-    "BSD/short": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "GPL-3.0/short": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0/short": "This work is licensed under the GNU General Public License, version 2.",
     "GPL/notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
-        "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
-        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+        "This program is free software: you can redistribute it "
+        "and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE."
+    ),
+    "LGPL/notice": (
+        "This library is free software; you can redistribute it "
+        "and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software "
+        "Foundation."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the "
+        "Mozilla Public License, v. 2.0. If "
+        "a copy of the MPL was not distributed with this "
+        "file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/."
+    ),
+    "CC-BY-4.0/short": (
+        "This work is licensed under a Creative Commons Attribution "
+        "4.0 International License."
+    ),
+    "CC-BY-SA-4.0/short": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike "
+        "4.0 International License."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public "
+        "domain."
     ),
-    "LGPL/notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0/short": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0/short": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
