@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("path", nargs="*", default=[])
     p.add_argument("--file-list")
     p.add_argument("--config", "-c")
+    p.add_argument("--config-name", default=config.TOOL, help="the name in the configuration's file or table")
     p.add_argument("--isolated", action="store_true")
     p.add_argument("--dictionary", help="typo,correction[,...] lines")
     p.add_argument("--sort", action="store_true", help="findings are always in order")
@@ -63,8 +64,8 @@ def resolve(args: argparse.Namespace, start: Path) -> config.Config:
         path = Path(args.config)
         if not path.is_file():
             raise config.ConfigError(f"no such file: {path}")
-        extra = (config.parse(path.read_text(encoding="utf-8"), path.name) or config.BUILT_IN).merged(extra)
-    return config.discover(start, args.isolated, extra)
+        extra = (config.parse(path.read_text(encoding="utf-8"), path.name, args.config_name) or config.BUILT_IN).merged(extra)
+    return config.discover(start, args.isolated, extra, args.config_name)
 
 
 def typed(rows: DataFrame, settings: config.Config) -> DataFrame:
@@ -129,7 +130,7 @@ def run(argv: Sequence[str], spark: SparkSession | None = None, out=sys.stdout)
         text = sys.stdin.read()
         rows = spark.createDataFrame([("-", True, text.encode(), "UTF_8", text, None)], files.SCHEMA)
     else:
-        rows = files.read(spark, [x for p in paths for x in files.walk(p, settings.files, args.force_exclude)])
+        rows = files.read(spark, [x for p in paths for x in files.walk(p, settings.files, args.force_exclude)], tool=args.config_name)
     rows = typed(rows, settings)
     plain = files.checkable(rows, bool(args.binary)).orderBy("path")
     text = F.col("text")

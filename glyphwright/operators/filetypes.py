@@ -8,20 +8,81 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Types and what their files are called: an extension with its dot, a whole name (after = if it begins
+#: with a dot), or a glob.
+_NAMES = {
+    "asciidoc": ".adoc .asc .asciidoc",
+    "bitbake": ".bb .bbappend .bbclass",
+    "c": ".c .h .H .cats",
+    "cert": ".crt .cer .pem .key .csr .der .p12 .pfx",
+    "cmake": "CMakeLists.txt .cmake",
+    "cpp": ".cc .cpp .cxx .hh .hpp .hxx .inl .C",
+    "cs": ".cs",
+    "css": ".css .scss .sass .less",
+    "csv": ".csv",
+    "dart": ".dart",
+    "diff": ".diff .patch",
+    "docker": "Dockerfile *Dockerfile*",
+    "elixir": ".ex .exs .eex",
+    "erlang": ".erl .hrl",
+    "fortran": ".f .f90 .f95 .f03",
+    "go": ".go",
+    "gradle": ".gradle .gradle.kts",
+    "graphql": ".graphql .graphqls",
+    "haskell": ".hs .lhs",
+    "html": ".htm .html .ejs",
+    "ini": ".ini .cfg",
+    "java": ".java .jsp .properties",
+    "jl": ".jl",
+    "js": ".js .jsx .vue .cjs .mjs",
+    "json": ".json composer.lock",
+    "jupyter": ".ipynb",
+    "kotlin": ".kt .kts",
+    "license": "COPYING COPYING.* LICENSE LICENSE.* NOTICE",
+    "lock": ".lock package-lock.json pnpm-lock.yaml go.sum requirements.txt",
+    "log": ".log",
+    "lua": ".lua",
+    "make": "Makefile makefile GNUmakefile .mk .mak",
+    "man": "*.[0-9lnpx] *.[0-9][cEFMmpSx]",
+    "markdown": ".markdown .md .mdown .mkd",
+    "nix": ".nix",
+    "ocaml": ".ml .mli",
+    "org": ".org",
+    "pdf": ".pdf",
+    "perl": ".pl .pm .perl .t",
+    "php": ".php .phtml",
+    "po": ".po",
+    "postscript": ".eps .ps",
+    "protobuf": ".proto",
+    "ps": ".ps1 .psd1 .psm1",
+    "py": ".py .pyi SConstruct",
+    "r": ".R .r .Rmd",
+    "rst": ".rst",
+    "ruby": ".rb .gemspec Gemfile Rakefile",
+    "rust": ".rs",
+    "scala": ".scala .sbt",
+    "sh": ".sh .bash .zsh .ksh =.bashrc =.profile",
+    "sql": ".sql .psql",
+    "svg": ".svg",
+    "swift": ".swift",
+    "tex": ".tex .ltx .cls .sty .bib",
+    "tf": ".tf",
+    "toml": ".toml Cargo.lock",
+    "ts": ".ts .tsx .cts .mts",
+    "txt": ".txt",
+    "vimscript": ".vim =.vimrc vimrc",
+    "xml": ".xml .xsd .xslt .xhtml",
+    "yaml": ".yaml .yml",
+    "zig": ".zig",
+}
+
+
+def _glob(name: str) -> str:
+    return name[1:] if name.startswith("=") else f"*{name}" if name.startswith(".") else name
+
+
 #: Types and their globs; a project's own are added to these.
-DEFAULT_TYPES: dict[str, list[str]] = {
-    "asciidoc": ["*.adoc", "*.asc", "*.asciidoc"], "bitbake": ["*.bb", "*.bbappend", "*.bbclass"], "c": ["*.c", "*.h", "*.H", "*.cats"],
-    "cert": ["*.crt", "*.cer", "*.pem", "*.key", "*.csr", "*.der", "*.p12", "*.pfx"], "cmake": ["CMakeLists.txt", "*.cmake"], "cpp": ["*.cc", "*.cpp", "*.cxx", "*.hh", "*.hpp", "*.hxx", "*.inl", "*.C"],
-    "cs": ["*.cs"], "css": ["*.css", "*.scss", "*.sass", "*.less"], "csv": ["*.csv"], "dart": ["*.dart"], "diff": ["*.diff", "*.patch"], "docker": ["Dockerfile", "*Dockerfile*"],
-    "elixir": ["*.ex", "*.exs", "*.eex"], "erlang": ["*.erl", "*.hrl"], "fortran": ["*.f", "*.f90", "*.f95", "*.f03"], "go": ["*.go"], "gradle": ["*.gradle", "*.gradle.kts"], "graphql": ["*.graphql", "*.graphqls"],
-    "haskell": ["*.hs", "*.lhs"], "html": ["*.htm", "*.html", "*.ejs"], "ini": ["*.ini", "*.cfg"], "java": ["*.java", "*.jsp", "*.properties"], "jl": ["*.jl"], "js": ["*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs"],
-    "json": ["*.json", "composer.lock"], "jupyter": ["*.ipynb"], "kotlin": ["*.kt", "*.kts"], "license": ["COPYING", "COPYING.*", "LICENSE", "LICENSE.*", "NOTICE"],
-    "lock": ["*.lock", "package-lock.json", "pnpm-lock.yaml", "go.sum", "requirements.txt"], "log": ["*.log"], "lua": ["*.lua"], "make": ["Makefile", "makefile", "GNUmakefile", "*.mk", "*.mak"], "man": ["*.[0-9lnpx]", "*.[0-9][cEFMmpSx]"],
-    "markdown": ["*.markdown", "*.md", "*.mdown", "*.mkd"], "nix": ["*.nix"], "ocaml": ["*.ml", "*.mli"], "org": ["*.org"], "pdf": ["*.pdf"], "perl": ["*.pl", "*.pm", "*.perl", "*.t"], "php": ["*.php", "*.phtml"], "po": ["*.po"],
-    "postscript": ["*.eps", "*.ps"], "protobuf": ["*.proto"], "ps": ["*.ps1", "*.psd1", "*.psm1"], "py": ["*.py", "*.pyi", "SConstruct"], "r": ["*.R", "*.r", "*.Rmd"], "rst": ["*.rst"], "ruby": ["*.rb", "*.gemspec", "Gemfile", "Rakefile"],
-    "rust": ["*.rs"], "scala": ["*.scala", "*.sbt"], "sh": ["*.sh", "*.bash", "*.zsh", "*.ksh", ".bashrc", ".profile"], "sql": ["*.sql", "*.psql"], "svg": ["*.svg"], "swift": ["*.swift"], "tex": ["*.tex", "*.ltx", "*.cls", "*.sty", "*.bib"],
-    "tf": ["*.tf"], "toml": ["*.toml", "Cargo.lock"], "ts": ["*.ts", "*.tsx", "*.cts", "*.mts"], "txt": ["*.txt"], "vimscript": ["*.vim", ".vimrc", "vimrc"], "xml": ["*.xml", "*.xsd", "*.xslt", "*.xhtml"], "yaml": ["*.yaml", "*.yml"], "zig": ["*.zig"],
-}
+DEFAULT_TYPES: dict[str, list[str]] = {kind: [_glob(n) for n in names.split()] for kind, names in _NAMES.items()}
 
 
 def sort_key(glob: str) -> list[tuple[int, str]]:

@@ -11,8 +11,11 @@ from typing import Any
 
 from ..operators.filetypes import DEFAULT_TYPES
 
-FILE_NAMES = ("typos.toml", "_typos.toml", ".typos.toml", "Cargo.toml", "pyproject.toml")
-LOCALES = ("en", "en-us", "en-gb", "en-ca", "en-au")
+#: The name that a project's configuration goes by: in names of files and as the table in a manifest.
+#: Another tool's configuration of the same form is read by giving its name to the functions below.
+TOOL = "glyphwright"
+MANIFESTS = ("Cargo.toml", "pyproject.toml")
+LOCALES = ("en", *(f"en-{country}" for country in ("us", "gb", "ca", "au")))
 UNCHECKED = ("cert", "lock")
 #: Names that are right in the code of one language.
 TYPE_IDENTIFIERS = {
@@ -23,6 +26,10 @@ TYPE_IDENTIFIERS = {
 TYPE_WORDS = {"bitbake": ["PN"], "jl": ["egal", "egals", "modul", "usig"], "rust": ["ser"]}
 
 
+def file_names(tool: str = TOOL) -> tuple[str, ...]:
+    return (f"{tool}.toml", f"_{tool}.toml", f".{tool}.toml", *MANIFESTS)
+
+
 class ConfigError(ValueError):
     """code: the exit status that goes with it."""
 
@@ -149,17 +156,17 @@ def _fill(kind, table: Mapping[str, Any], where: str):
     return kind(**out)
 
 
-def parse(text: str, name: str = "typos.toml") -> Config | None:
+def parse(text: str, name: str = "", tool: str = TOOL) -> Config | None:
     """A configuration; None if a manifest has none in it."""
     try:
         table = tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
         raise ConfigError(str(e)) from e
     if name == "Cargo.toml":
-        meta = [table.get(k, {}).get("metadata", {}).get("typos") for k in ("workspace", "package")]
+        meta = [table.get(k, {}).get("metadata", {}).get(tool) for k in ("workspace", "package")]
         table = next((m for m in meta if m is not None), None)
     elif name == "pyproject.toml":
-        table = table.get("tool", {}).get("typos")
+        table = table.get("tool", {}).get(tool)
     if table is None:
         return None
     for k in table:
@@ -169,22 +176,22 @@ def parse(text: str, name: str = "typos.toml") -> Config | None:
     return Config(_fill(Walk, table.get("files", {}), "files"), _fill(Engine, table.get("default", {}), "default"), types, _fill(Engine, table.get("overrides", {}), "overrides"))
 
 
-def load_dir(folder: Path) -> Config | None:
-    """The first usable configuration of a folder, in the order of FILE_NAMES."""
-    for name in FILE_NAMES:
+def load_dir(folder: Path, tool: str = TOOL) -> Config | None:
+    """The first usable configuration of a folder, in the order of :func:`file_names`."""
+    for name in file_names(tool):
         p = folder / name
-        if p.is_file() and (found := parse(p.read_text(encoding="utf-8"), name)) is not None:
+        if p.is_file() and (found := parse(p.read_text(encoding="utf-8"), name, tool)) is not None:
             return found
     return None
 
 
-def discover(start: Path, isolated: bool = False, extra: Config | None = None) -> Config:
+def discover(start: Path, isolated: bool = False, extra: Config | None = None, tool: str = TOOL) -> Config:
     """The nearest configuration at or above ``start``, with ``extra`` on top."""
     found = None
     if not isolated:
         start = start.resolve()
         for folder in (start, *start.parents):
-            if (found := load_dir(folder)) is not None:
+            if (found := load_dir(folder, tool)) is not None:
                 break
     out = BUILT_IN.merged(found) if found else BUILT_IN
     return out.merged(extra) if extra else out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filetypes import glob_regex
 from ..shipping import ship
-from .config import FILE_NAMES, Walk
+from .config import TOOL, Walk, file_names
 
 
 @dataclass(frozen=True)
@@ -201,11 +201,11 @@ def utf8_chunks(data: bytes) -> list[tuple[int, str]]:
 SCHEMA = "path string, explicit boolean, content binary, content_type string, text string, error string"
 
 
-def read(spark: SparkSession, paths: Iterable[tuple[str, bool]], batch: int = 256) -> DataFrame:
+def read(spark: SparkSession, paths: Iterable[tuple[str, bool]], batch: int = 256, tool: str = TOOL) -> DataFrame:
     """The files as rows of SCHEMA; text is null if the content is binary or not UTF-8 throughout. What can't be
     read has an error and no content. Configuration files are left out."""
     ship(spark)
-    rows = [(p, bool(e)) for p, e in paths if Path(p).name not in FILE_NAMES]
+    rows = [(p, bool(e)) for p, e in paths if Path(p).name not in file_names(tool)]
     listed = spark.createDataFrame(rows, "path string, explicit boolean")
     listed = listed.repartition(max(1, -(-len(rows) // batch)))
 

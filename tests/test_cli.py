@@ -10,7 +10,7 @@ def _run(spark, *argv):
 
 
 def _tree(root):
-    (root / "typos.toml").write_text('[default.extend-words]\nteh = "the"\nbad = ""\n[type.md]\nextend-glob = ["*.md"]\ncheck-file = false\n[files]\nextend-exclude = ["skip/"]\n')
+    (root / "glyphwright.toml").write_text('[default.extend-words]\nteh = "the"\nbad = ""\n[type.md]\nextend-glob = ["*.md"]\ncheck-file = false\n[files]\nextend-exclude = ["skip/"]\n')
     for name, text in {"a.txt": "ok\nteh bad\n", "b.md": "teh", "skip/c.txt": "teh", "teh.py": "x = 1\n"}.items():
         (root / name).parent.mkdir(exist_ok=True)
         (root / name).write_text(text)
@@ -46,7 +46,7 @@ def test_bad_calls(spark, tmp_path):
     assert _run(spark, tmp_path, "--nope")[0] == 64 and _run(spark, tmp_path / "none")[0] == 64
     assert _run(spark, tmp_path, "--file-list", "x")[0] == 64
     assert _run(spark, tmp_path, "--config", tmp_path / "none.toml")[0] == 78
-    (tmp_path / "typos.toml").write_text("[default]\nnope = 1")
+    (tmp_path / "glyphwright.toml").write_text("[default]\nnope = 1")
     assert _run(spark, tmp_path)[0] == 78
     (tmp_path / "list").write_text(f"{tmp_path}/list\n")
     assert _run(spark, "--file-list", tmp_path / "list", "--isolated", "--files")[1].split() == [f"{tmp_path}/list"]

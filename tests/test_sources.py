@@ -45,7 +45,7 @@ def test_decoding():
 
 
 def test_read_check_and_write(spark, tmp_path):
-    _tree(tmp_path, {"a.txt": "teh end", "typos.toml": "", "sub/b.txt": "fine"})
+    _tree(tmp_path, {"a.txt": "teh end", "glyphwright.toml": "", "sub/b.txt": "fine"})
     (tmp_path / "c.txt").write_bytes(codecs.BOM_UTF16_LE + "teh".encode("utf-16-le"))
     (tmp_path / "d.bin").write_bytes(b"\0teh")
     (tmp_path / "e.txt").write_bytes(b"x\xe9 teh")
@@ -88,7 +88,7 @@ def test_unknown_type_needs_a_glob():
 
 
 def test_discovery(tmp_path):
-    _tree(tmp_path, {"typos.toml": '[default]\nlocale = "en-us"', "a/pyproject.toml": "[tool.other]\nx = 1", "b/pyproject.toml": '[tool.typos.default]\nlocale = "en-ca"', "a/x/y.txt": ""})
+    _tree(tmp_path, {"glyphwright.toml": '[default]\nlocale = "en-us"', "a/pyproject.toml": "[tool.other]\nx = 1", "b/pyproject.toml": '[tool.glyphwright.default]\nlocale = "en-ca"', "a/x/y.txt": ""})
     assert config.discover(tmp_path / "a" / "x").default.locale == "en-us"
     assert config.discover(tmp_path / "b").default.locale == "en-ca"
     assert config.discover(tmp_path / "b", isolated=True).default.locale is None
