@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Categories: A American, B British "ise", Z British "ize", C Canadian, D Australian, _ other.
 VALID = {"A": 1, "B": 2, "C": 4, "D": 8}
@@ -52,15 +53,18 @@ def parse(files: DataFrame) -> DataFrame:
 
 def infer(rows: DataFrame) -> DataFrame:
     """Complete entries: without Z, B counts as Z; then without C, Z counts as C; without D, B as D."""
-    entry = ["cluster", "entry"]
-    others = [c for c in rows.columns if c != "category"]
-
-    def add(rows, source, target):
-        lacking = rows.groupBy(*entry).agg((~F.bool_or(F.col("category") == target)).alias("__lacking"))
-        more = rows.where(F.col("category") == source).join(lacking, entry).where("__lacking").select(*others, F.lit(target).alias("category"))
-        return rows.unionByName(more)
-
-    return add(add(add(rows, "B", "Z"), "Z", "C"), "B", "D")
+    here = W.partitionBy("cluster", "entry")
+    has = lambda c: F.coalesce(F.bool_or(F.col("category") == c).over(here), F.lit(False))
+    flagged = rows.withColumns({"__z": has("Z"), "__c": has("C"), "__d": has("D")})
+    british, ize = F.col("category") == "B", F.col("category") == "Z"
+    more = F.array(
+        F.col("category"),
+        F.when(british & ~F.col("__z"), F.lit("Z")),
+        F.when(~F.col("__c") & (ize | (british & ~F.col("__z"))), F.lit("C")),
+        F.when(british & ~F.col("__d"), F.lit("D")),
+    )
+    each = flagged.withColumn("__more", F.explode(F.array_compact(more)))
+    return each.select(*[F.col("__more").alias(c) if c == "category" else F.col(c) for c in rows.columns])
 
 
 def _bit(category: Column) -> Column:
