@@ -1,9 +1,11 @@
 """Near duplicates by SimHash, found with a Gray-order hierarchical index.
 
 A document's features are its distinct words; each of 256 fingerprint bits is the majority of that
-bit over the features' hashes. The first and the second 64 bits are searched exactly, each by itself:
-codes that differ in at most ``max_bits`` bits differ in at most so many of ten blocks and agree on two,
-so every code goes to the buckets of its 45 pairs of blocks. Within a bucket the fingerprints are sorted by Gray rank, runs of
+bit over the features' hashes. Fingerprints within 40 of 256 bits have, in one of their four codes of 64
+bits, at most 10 (the first) or 9 (the others) that differ, else there were 11 + 10 + 10 + 10. Such
+a code has at most 5 in its first part or 4 in its second, by the same count, and a part has two blocks
+more than that, so it agrees on two of them. Every code goes to the buckets of the pairs of blocks of
+each of its parts, 126 for the four codes, and the search is exact. Within a bucket the fingerprints are sorted by Gray rank, runs of
 them become leaves, runs of leaves become upper nodes, and a node holds the bits on which all below
 it agree (mask and pattern; a child keeps only the bits that its parent doesn't have). A search
 walks down, adds up the differences on each node's own bits, and drops the whole group once they
@@ -27,15 +29,29 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from . import _scale, _text
 
-MAX_BITS = 8  # of the 64 of a code that is searched
-SEARCHED = 2  # codes
+MAX_BITS = 10  # of the 64 of a code that is searched
+SEARCHED = 4  # codes
 MAX_ALL = 40  # of all 256
-BLOCKS = 10
 LEAF, FAN = 16, 8
 WORDS = ("f0", "f1", "f2", "f3")
-#: Where each block starts and how many bits it has.
-SPANS = [(sum(7 if j < 4 else 6 for j in range(i)), 7 if i < 4 else 6) for i in range(BLOCKS)]
-PAIRS = list(combinations(range(BLOCKS), 2))
+
+
+def _layout(max_bits: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """For codes within ``max_bits``: where each block starts and how many bits it has; the pairs of
+    blocks of each of the two parts, on one of which such codes agree."""
+    count = max(10, max_bits + 3)  # more blocks than that do no harm, and none has over 7 bits
+    cuts = [64 * i // count for i in range(count + 1)]
+    first = count - count // 2
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], [*combinations(range(first), 2), *combinations(range(first, count), 2)]
+
+
+def _limits(max_bits: int, max_all: int) -> list[int]:
+    """Bits within which each code is searched; fingerprints that differ in more than that in each
+    differ in more than ``max_all``."""
+    return [min(max_bits, (max_all + SEARCHED - k) // SEARCHED - 1) for k in range(SEARCHED)]
+
+
+SPANS, PAIRS = _layout(MAX_BITS)
 #: The eight bits of a byte as the eight bytes of a word.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
@@ -89,13 +105,15 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _first_pair(diff: np.ndarray) -> np.ndarray:
+def _first_pair(diff: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     """The number of the first pair of blocks on which two codes agree."""
-    same = np.stack([(diff & np.uint64(((1 << n) - 1) << s)) == 0 for s, n in SPANS])
-    first = same.argmax(0)
-    same[first, np.arange(len(diff))] = False
-    second = same.argmax(0)
-    return first * BLOCKS - first * (first + 1) // 2 + second - first - 1
+    spans, pairs = _layout(max_bits)
+    same = [(diff & np.uint64(((1 << n) - 1) << s)) == 0 for s, n in spans]
+    first = np.full(len(diff), len(pairs))
+    for t in reversed(range(len(pairs))):
+        i, j = pairs[t]
+        first[same[i] & same[j]] = t
+    return first
 
 
 def search(bucket: np.ndarray, codes: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,37 +153,44 @@ def search(bucket: np.ndarray, codes: np.ndarray, max_bits: int = MAX_BITS) -> t
         ends.append(ends[-1][e - 1])
     ends.reverse()
 
+    leaf, leaf_end, *_ = levels[-1]
+    rows = c[np.minimum(leaf[:, None] + np.arange(LEAF), n - 1)]  # what is past a leaf's end is left out below
     found_i, found_j = [], []
     weight = np.cumsum(np.repeat(size, size))
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + 2_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + 1_000_000, "right")))
         q = np.arange(at, to)
         node, gone = group[at:to], np.zeros(to - at, np.int64)
         for depth, (s, e, mask, pattern) in enumerate(nodes):
             gone = gone + np.bitwise_count((c[q] ^ pattern[node]) & mask[node])
             keep = (gone <= max_bits) & (ends[depth][node] > q + 1)
             q, node, gone = q[keep], node[keep], gone[keep]
+            if depth == len(nodes) - 1:
+                break
             count = e[node] - s[node]
             base = np.repeat(s[node] - (np.cumsum(count) - count), count)
             node = base + np.arange(len(base))
             q, gone = np.repeat(q, count), np.repeat(gone, count)
-        later = node > q
-        q, node = q[later], node[later]
-        hit = np.bitwise_count(c[q] ^ c[node]) <= max_bits
+        hit, lane = np.nonzero(np.bitwise_count(rows[node] ^ c[q][:, None]) <= max_bits)
+        q, node, other = q[hit], node[hit], leaf[node[hit]] + lane
+        hit = (other > q) & (other < leaf_end[node])
         found_i.append(order[q[hit]])
-        found_j.append(order[node[hit]])
+        found_j.append(order[other[hit]])
         at = to
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _searcher(max_bits: int):
+def _searcher(limits: list[int]):
     def whole(parts):
         bucket, code, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        i, j = search(bucket, code, max_bits)
-        if len(i):
-            once = _first_pair(code[i] ^ code[j]) == (bucket[i] >> 14) % len(PAIRS)  # they meet in other buckets too
-            i, j = i[once], j[once]
+        i, j = search(bucket, code, max(limits))
+        word, pair = bucket[i] >> 24, bucket[i] >> 14 & 1023
+        once = np.zeros(len(i), bool)
+        for most in set(limits):
+            own = np.flatnonzero(np.array(limits)[word] == most)
+            once[own] = _first_pair(code[i[own]] ^ code[j[own]], most) == pair[own]  # they meet in other buckets too
+        i, j = i[once], j[once]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], names=["a", "b"])
 
     def run(batches):
@@ -190,22 +215,25 @@ def _searcher(max_bits: int):
 
 def near_pairs(unique: DataFrame, max_bits: int = MAX_BITS, max_all: int = MAX_ALL) -> DataFrame:
     """(a, b, bits): pairs of representatives that differ in at most ``max_bits`` bits of one of the
-    codes that are searched, and ``max_all`` of all 256. unique: (rep, f0..f3), no fingerprint twice.
-    A pair comes once for each code by which it is found."""
+    codes, and ``max_all`` of all 256; with ``max_bits`` of a quarter of ``max_all`` that is every pair
+    within ``max_all``. unique: (rep, f0..f3), no fingerprint twice. A pair comes once for each code by
+    which it is found."""
+    limits = _limits(max_bits, max_all)
 
-    def block(word, i):
-        s, n = SPANS[i]
+    def block(word, span):
+        s, n = span
         return F.shiftrightunsigned(word, s).bitwiseAND(F.lit((1 << n) - 1))
 
     places = [
-        F.struct((F.lit((k * len(PAIRS) + t) << 14) + F.shiftleft(block(word, i), 7) + block(word, j)).cast("int").alias("bucket"), F.col(word).alias("code"))
+        F.struct((F.lit(k << 24 | t << 14) + F.shiftleft(block(word, spans[i]), 7) + block(word, spans[j])).cast("int").alias("bucket"), F.col(word).alias("code"))
         for k, word in enumerate(WORDS[:SEARCHED])
-        for t, (i, j) in enumerate(PAIRS)
+        for spans, pairs in [_layout(limits[k])]
+        for t, (i, j) in enumerate(pairs)
     ]
     n = _scale.partitions(unique.sparkSession)
     rows = unique.select("rep", F.explode(F.array(*places)).alias("p")).select("p.bucket", "p.code", "rep")
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
-    pairs = map_arrow(rows, _searcher(max_bits), "a bigint, b bigint")
+    pairs = map_arrow(rows, _searcher(limits), "a bigint, b bigint")
     left = unique.select(F.col("rep").alias("a"), *[F.col(w).alias(f"a{w}") for w in WORDS])
     right = unique.select(F.col("rep").alias("b"), *[F.col(w).alias(f"b{w}") for w in WORDS])
     bits = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS[1:]), F.bit_count(F.col("af0").bitwiseXOR(F.col("bf0"))))

@@ -137,6 +137,21 @@ def test_simhash_blocks():
     assert simhash._first_pair(diff).tolist() == [0, simhash.PAIRS.index((1, 2)), 0]
 
 
+def test_simhash_is_exact(spark):
+    """Differences dealt to the four codes in every way: all pairs within MAX_ALL, nothing else."""
+    rng = np.random.default_rng(6)
+    assert simhash._limits(simhash.MAX_BITS, simhash.MAX_ALL) == [10, 9, 9, 9] and simhash._limits(3, 40) == [3] * 4 and simhash._limits(99, 39) == [9] * 4
+    prints = []
+    for way in [(10, 10, 10, 10), (11, 9, 10, 10), (11, 10, 10, 10), (10, 11, 11, 8), (40, 0, 0, 0), (13, 13, 14, 0), (10, 10, 10, 11), (9, 9, 9, 9)] * 25:
+        base = rng.integers(0, 1 << 64, 4, dtype=np.uint64)
+        near = [int(w) ^ sum(1 << int(b) for b in rng.choice(64, k, False)) for w, k in zip(base, way, strict=True)]
+        prints += [base, np.array(near, np.uint64)]
+    f = np.array(prints)
+    got = simhash.near_pairs(spark.createDataFrame([(i, *w) for i, w in enumerate(f.view(np.int64).tolist())], "rep long, f0 long, f1 long, f2 long, f3 long"))
+    d = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    assert {(r.a, r.b, r.bits) for r in got.collect()} == {(a, b, int(d[a, b])) for a, b in zip(*np.nonzero(d <= simhash.MAX_ALL), strict=True) if a < b}
+
+
 def test_simhash_finds_near_copies(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
