@@ -2,8 +2,9 @@
 
 Templates are split into words (ASCII case doesn't count) and put into one suffix automaton. A document
 is streamed through it: at each word the automaton gives the longest run of words, ending there, that
-occurs in any template (matching statistics). Runs that can't be extended and have at least
-``min_match`` words are anchors: places of that run in a document and in a template. Anchors of one
+occurs in any template (matching statistics), and its suffix links the longest in each template. Runs
+that can't be extended in their template and have at least ``min_match`` words are anchors: places of
+that run in a document and in a template, whatever runs go on in others. Anchors of one
 template that follow each other in both, with at most ``max_gap`` foreign words between, are chained
 for the most covered words; a chain that covers at least ``min_cover`` of its template is a finding. Of
 findings that overlap, the one that covers more words stays (ties: the earlier, then the name).
@@ -156,10 +157,34 @@ class Scanner:
                 self.ends[state].add((t, i + 1))
         for state in sorted(range(1, len(self.move)), key=lambda q: -self.size[q]):
             self.ends[self.link[state]] |= self.ends[state]
+        #: Of each state: the templates of its runs; those that only shorter runs are in, by (state, words).
+        self.whole: list[tuple] = [tuple({t for t, _ in e}) for e in self.ends]
+        self.shorter: list[dict] = [{} for _ in self.move]
+        for state in sorted(range(1, len(self.move)), key=lambda q: self.size[q]):
+            q = self.link[state]
+            if self.size[q] >= min_match:
+                near = {t: (q, self.size[q]) for t in self.whole[q]} | self.shorter[q]
+                self.shorter[state] = {t: x for t, x in near.items() if t not in self.whole[state]}
 
-    def anchors(self, tokens) -> list[tuple[int, int, int, int]]:
+    def own_anchors(self, tokens) -> list[tuple[int, int, int, int]]:
         """(template, start in the text, start in the template, words) of the runs of ``tokens`` that
-        can't be extended; the tokens are all of the vocabulary."""
+        can't be extended in their template; the tokens are all of the vocabulary."""
+        out, state, n, before = [], 0, 0, {}
+        for i, c in enumerate([*tokens, -1]):
+            while state and c not in self.move[state]:
+                state = self.link[state]
+                n = self.size[state]
+            state = self.move[state].get(c, 0)
+            n = n + 1 if state else 0
+            now = {t: (state, n) for t in self.whole[state]} | self.shorter[state] if n >= self.min_match else {}
+            for t, (q, held) in before.items():
+                if t not in now or now[t][1] <= held:  # its run before ends here
+                    out += [(t, i - held, e - held, held) for k, e in self.ends[q] if k == t]
+            before = now
+        return out
+
+    def anchors(self, tokens) -> list[tuple[int, int, int, int]]:
+        """Those of :meth:`own_anchors` whose runs can't be extended in any template."""
         out, state, n = [], 0, 0
         for i, c in enumerate(tokens):
             before, held = state, n
@@ -180,9 +205,10 @@ class Scanner:
         for t in sorted({a[0] for a in anchors}):
             own = sorted((s, u, n) for k, s, u, n in anchors if k == t)
             best, back = [n for _, _, n in own], [-1] * len(own)
+            longest = max(best)
             for i, (s, u, n) in enumerate(own):
                 j = i - 1
-                while j >= 0 and s - own[j][0] <= self.max_gap + self.sizes[t]:
+                while j >= 0 and s - own[j][0] <= self.max_gap + longest:
                     ps, pu, pn = own[j]
                     skip = max(0, ps + pn - s, pu + pn - u)  # words that both cover count once
                     if pu < u and ps < s and s - (ps + pn) <= self.max_gap and skip < n and best[j] + n - skip > best[i]:
@@ -219,7 +245,7 @@ class Scanner:
             runs = known[heads] & (tails - heads >= self.min_match)
             held: dict[int, list] = {}
             for a, b in zip(heads[runs].tolist(), tails[runs].tolist(), strict=True):
-                found = self.anchors(at[a:b].tolist())
+                found = self.own_anchors(at[a:b].tolist())
                 if found:
                     held.setdefault(int(row[a]), []).extend((t, s + a, u, n) for t, s, u, n in found)
             for r, anchors in held.items():

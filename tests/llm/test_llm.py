@@ -552,6 +552,25 @@ def test_matching_statistics_equal_brute_force():
         assert set(scanner.anchors([number[w] for w in text])) == want
 
 
+def test_license_scan_equals_one_template_each():
+    """A template is found whatever runs go on in others: chains are those of scanners of one each."""
+    templates = {"a": "x y z x y w x", "b": "y z x q", "c": "w x y", "d": "z x y w", "e": "x y z x y w x z z y q"}
+    both, rng = licenses.Scanner(templates, 2, 3, 0.6), random.Random(10)
+    for _ in range(300):
+        text = [rng.choice("xyzwq") for _ in range(rng.randrange(1, 20))] + ["end"]
+        want = []
+        for k, (name, t) in enumerate(templates.items()):
+            runs = {(s, e) for s in range(len(text)) for e in range(s + 2, len(text) + 1) if any(text[s:e] == t.split()[u : u + e - s] for u in range(len(t.split())))}
+            own = [(k, s, u, e - s) for s, e in runs if (s - 1, e) not in runs and (s, e + 1) not in runs for u in range(len(t.split())) if t.split()[u : u + e - s] == text[s:e]]
+            want += both.chains(own)
+            one = licenses.Scanner({name: t}, 2, 3, 0.6)
+            assert [(r[2], r[3], r[4]) for r in one.scan(pa.array([" ".join(text)]))] == [(2 * a, 2 * b - 1, n) for n, a, b, _ in both.choose(both.chains(own))]
+        assert [(r[1], r[2], r[3], r[4]) for r in both.scan(pa.array([" ".join(text)]))] == [(t, 2 * a, 2 * b - 1, n) for n, a, b, t in both.choose(want)]
+    notice = 'Licensed under the Apache License, Version 2.0 (the "License"); see LICENSE for details.'
+    scanner = licenses.Scanner()
+    assert [(scanner.names[t], start, end) for _, t, start, end, _ in scanner.scan(pa.array([notice]))] == [("Apache-2.0/short", 0, 46)]
+
+
 # Pipeline
 
 
