@@ -4,7 +4,9 @@ For each language a suffix automaton is built of a sample of labelled text. A do
 against it from left to right into the longest phrases that occur in the sample; a language's score
 is phrases * log2(length of sample) / length, an estimate of the bits a letter takes if one knows that
 language. The language with the lowest score wins (ties: the first by name); if even that score is
-above ``max_bits``, or there is no letter, the document is of no known language ("und") and rejected.
+above the limit, or there is no letter, the document is of no known language ("und") and rejected. The
+limit falls with the length: ``long_bits`` and 100 bits besides, dealt to all classes of the text, and
+``max_bits`` at most, as a few words say little and any long text repeats some of a sample.
 
 Text is read as classes of bytes: ASCII letters without case, other bytes each by itself, and all other
 ASCII as one separator, runs of which count once. Whole documents are parsed, in blocks of 4096
@@ -35,6 +37,7 @@ from .automaton import build
 
 SAMPLE_DOCS, SAMPLE_BYTES, SEED = 64, 24_000, 20240229
 MAX_BITS = 9.0  # letters drawn at random need over 11, the shortest documents in a known language up to 7
+LONG_BITS, SLACK = 4.5, 100.0  # long documents in a known language need under 4.3, other languages and code mostly over 5
 BLOCK = 4096
 NONE = "und"
 
@@ -109,7 +112,11 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """Bits a letter, documents x languages; nan without letters."""
-        out = [np.zeros((0, len(self.languages)))]
+        return self.measured(column)[0]
+
+    def measured(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`scores`, and the classes of each document."""
+        out, sizes = [np.zeros((0, len(self.languages)))], [np.zeros(0, np.int64)]
         data, offsets = _text.raw(column)
         i = 0
         while i < len(column):
@@ -118,8 +125,14 @@ class Model:
             size = np.diff(new)
             with np.errstate(invalid="ignore", divide="ignore"):
                 out.append(self.phrases(classes, new) * self.bits / size[:, None])
+            sizes.append(size)
             i = j
-        return np.concatenate(out)
+        return np.concatenate(out), np.concatenate(sizes)
+
+
+def limits(size: np.ndarray, max_bits: float = MAX_BITS, long_bits: float = LONG_BITS) -> np.ndarray:
+    """The most bits a letter at which a document of so many classes is accepted."""
+    return np.minimum(max_bits, long_bits + SLACK / np.maximum(size, 1))
 
 
 def train(docs: DataFrame, label: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> Model:
@@ -140,7 +153,7 @@ def train(docs: DataFrame, label: str = "lang", sample_docs: int = SAMPLE_DOCS,
     return Model(samples)
 
 
-def identify(docs: DataFrame, model: Model | None = None, max_bits: float = MAX_BITS, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, max_bits: float = MAX_BITS, keep: list[str] | None = None, long_bits: float = LONG_BITS) -> DataFrame:
     """The columns ``keep`` (default: doc_id) with language, bits (its score) and accepted."""
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -151,13 +164,13 @@ def identify(docs: DataFrame, model: Model | None = None, max_bits: float = MAX_
         m = shared.value
         names = np.array([*m.languages, NONE], dtype=object)
         for b in batches:
-            bits = m.scores(b.column(at))
+            bits, size = m.measured(b.column(at))
             if len(m.languages):
                 best = np.nan_to_num(bits, nan=np.inf).argmin(1)
                 score = bits[np.arange(len(best)), best] if len(best) else np.zeros(0)
             else:
                 best, score = np.zeros(b.num_rows, int), np.full(b.num_rows, np.nan)
-            ok = score <= max_bits  # nan isn't
+            ok = score <= limits(size, max_bits, long_bits)  # nan isn't
             best = np.where(ok, best, len(m.languages))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(names[best], pa.string()), pa.array(score, pa.float64(), mask=np.isnan(score)), pa.array(ok)], names=[*b.schema.names[:at], "language", "bits", "accepted"])
 
@@ -166,7 +179,7 @@ def identify(docs: DataFrame, model: Model | None = None, max_bits: float = MAX_
     return map_arrow(kept, run, schema)
 
 
-def keep_known(docs: DataFrame, model: Model | None = None, max_bits: float = MAX_BITS) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model | None = None, max_bits: float = MAX_BITS, long_bits: float = LONG_BITS) -> DataFrame:
     """``docs`` without what is of no known language; columns as they were. The verdict is a
     narrow pass on the rows themselves."""
     model = model or train(docs)
@@ -175,8 +188,8 @@ def keep_known(docs: DataFrame, model: Model | None = None, max_bits: float = MA
 
     def run(batches):
         for b in batches:
-            bits = shared.value.scores(b.column(at))
-            ok = np.nan_to_num(bits, nan=np.inf).min(1, initial=np.inf) <= max_bits
+            bits, size = shared.value.measured(b.column(at))
+            ok = np.nan_to_num(bits, nan=np.inf).min(1, initial=np.inf) <= limits(size, max_bits, long_bits)
             yield b.filter(pa.array(ok))
 
     return map_arrow(docs, run, docs.schema)

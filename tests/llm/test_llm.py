@@ -249,6 +249,28 @@ def test_langid_rejects(spark, docs, odd):
     assert langid.keep_known(odd.limit(0)).count() == 0 and langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("accepted").count() == 0
 
 
+@pytest.mark.parametrize(("left_out", "least"), [("en", 0.95), ("es", 0.95), ("de", 0.95), ("fr", 0.6)])
+def test_langid_rejects_left_out_language(spark, left_out, least):
+    """French of the fixtures is the nearest to the others."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(df.where(F.col("lang") != left_out))
+    strangers = df.where((F.col("lang") == left_out) & (F.length("text") > 300))
+    got = langid.identify(strangers, model)
+    n = got.count()
+    assert n > 20 and got.where("not accepted and language = 'und'").count() >= least * n and langid.keep_known(strangers, model).count() <= (1 - least) * n
+
+
+def test_langid_rejects_foreign_prose_and_code(spark, docs):
+    strange = [
+        "Nel mezzo del cammino di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura.",
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        Path(langid.__file__).read_text()[3000:6000], bytes(random.Random(4).randrange(256) for _ in range(400)).hex(" "),
+    ]
+    df = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert langid.identify(df, langid.train(docs)).where("accepted").count() == 0
+
+
 def test_suffix_automaton():
     rng = random.Random(4)
     for _ in range(30):
