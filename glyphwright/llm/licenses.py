@@ -7,7 +7,8 @@ that can't be extended in their template and have at least ``min_match`` words a
 that run in a document and in a template, whatever runs go on in others. Anchors of one
 template that follow each other in both, with at most ``max_gap`` foreign words between, are chained
 for the most covered words; a chain that covers at least ``min_cover`` of its template is a finding. Of
-findings that overlap, the one that covers more words stays (ties: the earlier, then the name).
+findings that overlap, the one that covers more words stays (ties: the earlier, then the shorter
+template, then the name).
 
 Words that no template has reset the automaton, so only runs of known words are walked; they are found
 for a whole batch at once. Cost follows the text, memory the templates, whose size is fixed.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from . import _text
 from .automaton import build
+from .license_texts import TEXTS
 
 MIN_MATCH, MAX_GAP, MIN_COVER = 3, 12, 0.7
 
@@ -50,6 +52,106 @@ TEMPLATES = {
     ),
     "MIT/short": "Released under the MIT License.",
     "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without '
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS '
+        "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+        "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+        "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE "
+        'SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        'written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY '
+        "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        '"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+        "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+        "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD/short": (
+        "Use of this source code is governed by a "
+        "BSD-style license that can be found in the LICENSE "
+        "file."
+    ),
+    "GPL-3.0/short": (
+        "This work is licensed under the GNU General Public License, "
+        "version 3."
+    ),
+    "GPL-2.0/short": (
+        "This work is licensed under the GNU General Public License, "
+        "version 2."
+    ),
+    "GPL/notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details. You should have received a copy of the GNU General Public License "
+        "along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "LGPL/notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+        "the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser "
+        "General Public License along with this library; if not, see <https://www.gnu.org/licenses/>."
+    ),
+    "MPL-2.0/notice": (
+        "This Source Code Form is subject to the terms of the "
+        "Mozilla Public License, v. 2.0. If "
+        "a copy of the MPL was not distributed with this "
+        "file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/."
+    ),
+    "CC-BY-4.0/short": (
+        "This work is licensed under a Creative Commons Attribution "
+        "4.0 International License."
+    ),
+    "CC-BY-SA-4.0/short": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike "
+        "4.0 International License."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public "
+        "domain."
+    ),
+    # Without the disclaimers or what else follows; where all is there, the whole covers more.
+    "MIT/permission": (
         "Permission is hereby granted, free of charge, to any "
         "person obtaining a copy of this software and associated documentation files "
         '(the "Software"), to deal in the '
@@ -65,13 +167,13 @@ TEMPLATES = {
         "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
         "AND NONINFRINGEMENT."
     ),
-    "ISC": (
+    "ISC/permission": (
         "Permission to use, copy, modify, and/or "
         "distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this "
         "permission notice appear in all copies."
     ),
-    "BSD-3-Clause": (
+    "BSD-3-Clause/conditions": (
         "Redistribution and use in source and binary forms, with or "
         "without modification, are permitted provided that the following conditions are "
         "met: Redistributions of source code must retain the above copyright "
@@ -83,20 +185,7 @@ TEMPLATES = {
         "contributors may be used to endorse or promote products derived from "
         "this software without specific prior written permission."
     ),
-    "BSD/short": (
-        "Use of this source code is governed by a "
-        "BSD-style license that can be found in the LICENSE "
-        "file."
-    ),
-    "GPL-3.0/short": (
-        "This work is licensed under the GNU General Public License, "
-        "version 3."
-    ),
-    "GPL-2.0/short": (
-        "This work is licensed under the GNU General Public License, "
-        "version 2."
-    ),
-    "GPL/notice": (
+    "GPL/notice/opening": (
         "This program is free software: you can redistribute it "
         "and/or modify it under the terms of the GNU "
         "General Public License as published by the Free Software Foundation, "
@@ -106,31 +195,22 @@ TEMPLATES = {
         "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
         "FOR A PARTICULAR PURPOSE."
     ),
-    "LGPL/notice": (
+    "LGPL/notice/opening": (
         "This library is free software; you can redistribute it "
         "and/or modify it under the terms of the GNU "
         "Lesser General Public License as published by the Free Software "
         "Foundation."
     ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the "
-        "Mozilla Public License, v. 2.0. If "
-        "a copy of the MPL was not distributed with this "
-        "file, You can obtain one at "
-        "https://mozilla.org/MPL/2.0/."
-    ),
-    "CC-BY-4.0/short": (
-        "This work is licensed under a Creative Commons Attribution "
-        "4.0 International License."
-    ),
-    "CC-BY-SA-4.0/short": (
-        "This work is licensed under a Creative Commons Attribution-ShareAlike "
-        "4.0 International License."
-    ),
-    "Unlicense": (
-        "This is free and unencumbered software released into the public "
-        "domain."
+    "BSD-2-Clause/conditions": (
+        "Redistribution and use in source and binary forms, with or "
+        "without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution."
     ),
+    **TEXTS,
 }
 
 
@@ -225,7 +305,7 @@ class Scanner:
     def choose(self, chains) -> list[tuple[int, int, int, int]]:
         """Those that stay where chains overlap, in order of place."""
         kept: list[tuple[int, int, int, int]] = []
-        for c in sorted(set(chains), key=lambda c: (-c[0], c[1], c[2], self.names[c[3]])):
+        for c in sorted(set(chains), key=lambda c: (-c[0], c[1], c[2], self.sizes[c[3]], self.names[c[3]])):
             if all(c[2] <= k[1] or k[2] <= c[1] for k in kept):
                 kept.append(c)
         return sorted(kept, key=lambda c: c[1])

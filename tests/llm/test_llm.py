@@ -593,6 +593,16 @@ def test_license_scan_equals_one_template_each():
     assert [(scanner.names[t], start, end) for _, t, start, end, _ in scanner.scan(pa.array([notice]))] == [("Apache-2.0/short", 0, 46)]
 
 
+def test_whole_licenses():
+    scanner = licenses.Scanner()
+    found = lambda text: [(scanner.names[t], n / scanner.sizes[t]) for _, t, _, _, n in scanner.scan(pa.array([text]))]
+    for name, text in licenses.TEMPLATES.items():
+        assert found(f"Preface\n{text}\nEnd") == [(name, 1.0)], name
+    mit, bsd = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-2-Clause"]
+    assert mit.endswith("DEALINGS IN THE SOFTWARE.") and len(licenses.TEMPLATES["Apache-2.0"].split()) > 1500
+    assert found(mit[: mit.index(" IN NO EVENT")]) == [("MIT/permission", 1.0)] and found(bsd[: bsd.index(" THIS SOFTWARE IS")]) == [("BSD-2-Clause/conditions", 1.0)]
+
+
 # Pipeline
 
 
