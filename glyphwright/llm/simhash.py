@@ -12,9 +12,11 @@ walks down, adds up the differences on each node's own bits, and drops the whole
 exceed ``max_bits``. What is found is checked on all 256 bits, and pairs are joined to groups.
 
 Defined cases: a text without words (null, empty, only signs) has no fingerprint and is nobody's
-duplicate. Rows without doc_id can't be named and aren't reported. Rows that repeat a doc_id count
-as one document, with the smallest of their fingerprints. Of equal fingerprints the smallest doc_id
-stands for all, so copies by the thousand cost one search. Other columns are never read.
+duplicate. A document is a doc_id with a text: equal rows are one, other texts under the same doc_id
+are others, and rows without doc_id take part (after all that have one) but can't be named in the
+report. Of a group the document with the smallest doc_id stays, ties by the text's hash. Of equal
+fingerprints one stands for all, so copies by the thousand cost one search. Dropping leaves one row of
+equal rows that stay, the one whose columns have the smallest hash; the search reads no other columns.
 """
 
 from __future__ import annotations
@@ -87,15 +89,20 @@ def fingerprint(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _fingerprints(batches):
     for b in batches:
-        rows, prints = fingerprint(b.column(1))
-        columns = [b.column(0).take(pa.array(rows))] + [pa.array(prints[:, k].view(np.int64)) for k in range(4)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *WORDS])
+        rows, prints = fingerprint(b.column(2))
+        columns = [b.column(k).take(pa.array(rows)) for k in (0, 1)] + [pa.array(prints[:, k].view(np.int64)) for k in range(4)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", *WORDS])
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, f0..f3) of every row that has words."""
+    some = docs.where("text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    return map_arrow(some, _fingerprints, "doc_id bigint, hash bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0..f3) of every document that has words."""
-    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
-    return map_arrow(some, _fingerprints, "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    """(doc_id, f0..f3) of every document that has words and a doc_id."""
+    return _prints(docs).where("doc_id is not null").select("doc_id", *WORDS)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -240,21 +247,46 @@ def near_pairs(unique: DataFrame, max_bits: int = MAX_BITS, max_all: int = MAX_A
     return pairs.join(left, "a").join(right, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= max_all)
 
 
+def _kept(docs: DataFrame, max_bits: int, max_all: int) -> DataFrame:
+    """(doc_id, hash, times, kept_id, kept_hash) of every document that has words: the rows that it
+    has, and the document kept of its group, which may be itself."""
+    prints = _scale.stored(_prints(docs).groupBy("doc_id", "hash", *WORDS).agg(F.count("*").alias("times")), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first")
+    unique = _scale.range_sorted(prints.groupBy(*WORDS).agg(first).select(*WORDS, "first.*"), "unnamed", "doc_id", "hash")
+    # Partitions are in order, so the smallest number of a group is its first document's.
+    unique = _scale.stored(unique.select(F.monotonically_increasing_id().alias("rep"), *WORDS, F.col("doc_id").alias("kept_id"), F.col("hash").alias("kept_hash")), "unique")
+    roots = _scale.stored(_scale.connected(near_pairs(unique.select("rep", *WORDS), max_bits, max_all)), "roots")
+    named = unique.select(F.col("rep").alias("root"), "kept_id", "kept_hash")
+    joined = unique.select("rep", *WORDS).join(roots, F.col("rep") == roots["node"], "left").select(*WORDS, F.coalesce("root", "rep").alias("root")).join(named, "root").drop("root")
+    return prints.join(joined, list(WORDS)).select("doc_id", "hash", "times", "kept_id", "kept_hash")
+
+
+_ITSELF = "doc_id <=> kept_id and hash = kept_hash"
+
+
 def duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_all: int = MAX_ALL) -> DataFrame:
-    """(doc_id, kept_id) of every document that isn't the one kept of its group; kept_id is the
-    smallest doc_id of the group."""
-    prints = _scale.stored(fingerprints(docs).groupBy("doc_id").agg(F.min(F.struct(*WORDS)).alias("f")).select("doc_id", "f.*"), "prints")
-    unique = _scale.stored(prints.groupBy(*WORDS).agg(F.min("doc_id").alias("rep")), "unique")
-    roots = _scale.connected(near_pairs(unique, max_bits, max_all))
-    rep = prints.join(unique, list(WORDS)).select("doc_id", "rep")
-    kept = F.coalesce("root", "rep")
-    return rep.join(roots, rep["rep"] == roots["node"], "left").select("doc_id", kept.alias("kept_id")).where("doc_id <> kept_id")
+    """(doc_id, kept_id) of every document that isn't the one kept of its group, if it has a doc_id
+    and another than that; kept_id is the smallest doc_id of the group."""
+    return _kept(docs, max_bits, max_all).where("doc_id <> kept_id").select("doc_id", "kept_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, max_all: int = MAX_ALL) -> DataFrame:
-    """``docs`` without the documents that :func:`duplicates` names; columns as they were."""
-    gone = duplicates(docs, max_bits, max_all).select("doc_id")
-    gone = _scale.stored(gone, "gone")
-    if _scale.small_enough(gone.count(), 16):
-        gone = F.broadcast(gone)
-    return docs.join(gone.select(F.col("doc_id").alias("__gw_gone")), F.col("__gw_gone") == docs["doc_id"], "left_anti")
+    """``docs`` with one row of each group of near duplicates; columns as they were."""
+    found = _kept(docs, max_bits, max_all).where(f"not ({_ITSELF}) or times > 1")
+    found = _scale.stored(found.select("doc_id", "hash", F.expr(_ITSELF).alias("stays")), "found")
+    count = found.agg(F.count("*"), F.count_if("stays")).first()
+    some = _scale.small_enough(count[0], 24)
+
+    def meet(keys, how):
+        keys = keys.select(F.col("doc_id").alias("__gw_id"), F.col("hash").alias("__gw_hash"))
+        keys = F.broadcast(keys) if some else keys
+        return docs.join(keys, keys["__gw_id"].eqNullSafe(docs["doc_id"].cast("bigint")) & (keys["__gw_hash"] == F.xxhash64(docs["text"])), how)
+
+    rest = meet(found, "left_anti")
+    if not count[1]:
+        return rest
+    again = meet(found.where("stays"), "inner")
+    columns = [_scale.column(again, c) for c in docs.columns]
+    plain = [_scale.column(again, f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = again.groupBy("__gw_id", "__gw_hash").agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("__gw_row"))
+    return rest.unionAll(one.select("__gw_row.*"))

@@ -174,6 +174,21 @@ def test_simhash_odd(odd):
     assert simhash.duplicates(odd.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark):
+    """A doc_id with two texts, rows without doc_id, and repeats of the row that is kept."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    data = [(1, a), (2, a), (2, b), (3, b), (None, c), (None, c), (None, c + " more"), (4, d), (4, d), (5, d), (6, e), (None, e), (7, ""), (7, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("__k", F.lit(None).cast("map<string,int>"))
+    got = simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len([x for x in kept if x[0] is None]) == 1 and {x[1] for x in kept if x[0] is None} <= {c, c + " more"}
+    assert sorted(x for x in kept if x[0] is not None) == sorted([(1, a), (2, b), (4, d), (6, e), (7, ""), (7, "")])
+    assert rows(simhash.duplicates(df)) == [(2, 1), (3, 2), (5, 4)]
+
+
 # 2 Mixing
 
 
