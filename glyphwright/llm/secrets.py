@@ -40,7 +40,8 @@ class Rule:
 
 
 _EDGE = r"(?:^|[^0-9A-Za-z_])"
-RULES = (
+#: Those that the SQL has too.
+SQL_RULES = (
     Rule("aws_access_key", 1, _EDGE + r"((?:AKIA|ASIA)[0-9A-Z]{16})", "IA"),
     Rule("github_token", 1, _EDGE + r"(gh[pousr]_[0-9A-Za-z]{36,})", "_"),
     Rule("slack_token", 1, _EDGE + r"(xox[abprs]-[0-9A-Za-z-]{10,})", "xox"),
@@ -51,6 +52,13 @@ RULES = (
     Rule("url_password", 1, _EDGE + r"[a-z][a-z0-9+.-]{1,15}://[^ /:@\n]{1,64}:([^ /@\n]{1,64})@", "://"),
     Rule("assigned_secret", 1, r"""(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY)["']?[ \t]*[:=][ \t]*["']([^"' \t\n]{8,})["']"""),
 )
+#: What lies beyond the bounds of url_password and the prefixes of github_token; no text matches both.
+RULES = (
+    *SQL_RULES,
+    Rule("github_fine_grained_token", 1, _EDGE + r"(github_pat_[0-9A-Za-z_]{22,})", "github_pat_"),
+    Rule("url_password_long", 1, _EDGE + r"[a-z][a-z0-9+.-]{1,15}://[^ /:@\n]{1,64}:([^ /@\n]{65,})@", "://"),
+    Rule("url_password_other_user", 1, _EDGE + r"[a-z][a-z0-9+.-]{1,15}://(?:[^ /:@\n]{65,})?:([^ /@\n]+)@", "://"),
+)
 _SCANNED, _FINDINGS = "blob binary, rules array<string>", "blob binary, rule string, version int, nth int, n_chars int, secret_sha256 string"
 
 
@@ -148,7 +156,7 @@ def update(path: str, docs: DataFrame, rules=RULES) -> DataFrame:
 
 def _sql() -> str:
     parts = []
-    for r in RULES:
+    for r in SQL_RULES:
         pattern = r.pattern.replace("'", "''")
         parts.append(f"SELECT doc_id, '{r.name}' AS rule, {r.version} AS version, regexp_extract_all(text, '{pattern}', 1) AS m FROM (SELECT DISTINCT doc_id, text FROM documents)")
     return f"""

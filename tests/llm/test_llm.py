@@ -322,6 +322,20 @@ def test_secret_rules(spark):
     assert secrets.scan(clean)[1].count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    long, token = "p" * 65, "github_pat_" + "A1b2" * 5 + "AB_" + "x" * 59
+    planted = {
+        "url_password_long": [(f"https://u:{long}@h", long), (f"https://u:{token}@h", token)],
+        "url_password_other_user": [("redis://:hunter2@host", "hunter2"), (f"redis://:{long}@host", long), (f"https://{long}:pw@h", "pw"), (f"https://{long}:{long}@h", long)],
+        "url_password": [(f"https://{'u' * 64}:{'p' * 64}@h", "p" * 64)],
+        "github_fine_grained_token": [(token, token), (f"https://u:{token}@h", token)],
+    }
+    df = spark.createDataFrame([(i, f"a {s[0]} b\n{s[0]}") for i, s in enumerate(x for v in planted.values() for x in v)], "doc_id long, text string")
+    got = {(r.doc_id, r.rule, r.nth, r.secret_sha256) for r in secrets.scan(df)[1].collect()}
+    want = {(i, name, nth, hashlib.sha256(s.encode()).hexdigest()) for i, (name, s) in enumerate((name, x[1]) for name, v in planted.items() for x in v) for nth in (0, 1)}
+    assert want <= got and len([x for x in got if x[1].startswith("url_password")]) == 2 * 8
+
+
 def test_ledger(spark, monkeypatch, tmp_path):
     seen = []
     plain = secrets._matches
