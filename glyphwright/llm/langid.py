@@ -37,7 +37,7 @@ from .automaton import build
 
 SAMPLE_DOCS, SAMPLE_BYTES, SEED = 64, 24_000, 20240229
 MAX_BITS = 9.0  # letters drawn at random need over 11, the shortest documents in a known language up to 7
-LONG_BITS, SLACK = 4.5, 100.0  # long documents in a known language need under 4.3, other languages and code mostly over 5
+LONG_BITS, SLACK = 4.5, 100.0  # long documents in a known language mostly need under 4.3, other languages and code mostly over 5
 BLOCK = 4096
 NONE = "und"
 
