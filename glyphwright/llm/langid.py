@@ -9,17 +9,22 @@ limit falls with the length: ``long_bits`` and 100 bits besides, dealt to all cl
 ``max_bits`` at most, as a few words say little and any long text repeats some of a sample.
 
 Text is read as classes of bytes: ASCII letters without case, other bytes each by itself, and all other
-ASCII as one separator, runs of which count once. Whole documents are parsed, in blocks of 4096
-classes at whose ends a phrase ends too, so that the blocks of a batch go through the dense transition
-table in lockstep with numpy.
+ASCII as one separator, runs of which count once. Whole documents are parsed. The blocks of a batch go
+through the dense transition table in lockstep with numpy, each as if a phrase began with it; then
+every block is entered anew in the state in which the one before it was left, and walked beside the
+first walk until the two are in the same state, from where they agree. So the phrases are those of the
+document as a whole, wherever blocks and batches end.
 
-The sample is the only bounded thing: of each language, whole documents in order of a seeded hash until
-there are ``sample_docs`` or ``sample_bytes`` of classes. The tables' size follows from that bound and
-the number of languages; they are broadcast.
+The sample is the only bounded thing: of each language at most ``sample_docs`` different documents, in
+order of a seeded hash, each taken whole while all of them have no more than ``sample_bytes`` bytes. If
+no document of a language is that short, its shortest one stands alone. The tables' size follows from
+that bound and the number of languages; they are broadcast. Rows are chosen, not ids, and rows that
+repeat one count once, so neither null nor repeated doc_ids can add to what the driver gets.
 
 Defined cases: null and empty texts are "und". A null label is no label; without any labelled text
-every document is "und". Null or repeated doc_ids give a row each, as they come. Other columns are
-never read.
+every document is "und". Null or repeated doc_ids give a row each, as they come. Ties of score go to
+the language that is first by name, ties in the sample's order to the smaller hash of the text. Other
+columns are never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -85,31 +90,64 @@ class Model:
         before = np.r_[np.uint8(0), c[:-1]] if len(c) else c
         before[offsets[:-1][offsets[:-1] < len(c)]] = 0
         keep = (c != 0) | (before != 0)
-        return c[keep], np.r_[0, np.cumsum(keep)][offsets]
+        ends = np.zeros(len(c) + 1, np.int32)
+        np.cumsum(keep, dtype=np.int32, out=ends[1:])
+        return c[keep], ends[offsets].astype(np.int64)
 
-    def phrases(self, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def phrases(self, classes: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """Phrases of each document against each language."""
         size = np.diff(offsets)
-        count = -(-size // BLOCK)
+        count = -(-size // block)
         own = np.repeat(np.arange(len(size)), count)
         k = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        start = offsets[:-1][own] + k * BLOCK
-        length = np.minimum(size[own] - k * BLOCK, BLOCK)
+        start = offsets[:-1][own] + k * block
+        length = np.minimum(size[own] - k * block, block)
         order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
+        at, longest = start[order], length[order]
         state = np.repeat(self.roots[:, None], len(start), 1)
         begun = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
+        active = np.searchsorted(-longest, -np.arange(1, (longest[0] if len(longest) else 0) + 1), "right")
         for step, n in enumerate(active.tolist()):
-            at = state[:, :n] + classes[start[:n] + step]
-            to = self.table.take(at)
+            to = self.table.take(state[:, :n] + classes[at[:n] + step])
             begun[:, :n] += to & 1
             state[:, :n] = to >> 1
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        begun, state = begun[:, back], state[:, back]
+        if (k > 0).any():
+            begun = self._carried(classes, start, length, k, begun, state)
         found = np.zeros((len(self.languages), len(size)), np.int64)
         for i in range(len(self.languages)):
-            found[i] = np.bincount(own[order], begun[i], len(size))
+            found[i] = np.bincount(own, begun[i], len(size))
         return found.T
 
+    def _carried(self, classes, start, length, k, begun, left):
+        """``begun`` with every block entered in the state in which the one before is left, not at a
+        root. left: the states at the ends of blocks that were entered at a root."""
+        total, end = begun.copy(), left.copy()
+        lang, block = np.nonzero(np.broadcast_to(k > 0, begun.shape))
+        while len(block):
+            lone, ours = self.roots[lang], end[lang, block - 1]
+            more = np.zeros(len(block), np.int32)
+            open_, step = np.flatnonzero(lone != ours), 0
+            final = left[lang, block]
+            while len(open_):
+                c = classes[start[block[open_]] + step]
+                a, b = self.table.take(lone[open_] + c), self.table.take(ours[open_] + c)
+                more[open_] += (b & 1) - (a & 1)
+                lone[open_], ours[open_] = a >> 1, b >> 1
+                step += 1
+                apart = lone[open_] != ours[open_]
+                over = apart & (length[block[open_]] <= step)
+                final[open_[over]] = ours[open_[over]]
+                open_ = open_[apart & ~over]
+            total[lang, block] = begun[lang, block] + more
+            changed = (end[lang, block] != final) & (block + 1 < len(k))
+            end[lang, block] = final
+            again = changed & (k[np.minimum(block + 1, len(k) - 1)] > 0)
+            lang, block = lang[again], block[again] + 1
+        return total
+
     def scores(self, column: pa.Array) -> np.ndarray:
         """Bits a letter, documents x languages; nan without letters."""
         return self.measured(column)[0]
@@ -117,16 +155,12 @@ class Model:
     def measured(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """:meth:`scores`, and the classes of each document."""
         out, sizes = [np.zeros((0, len(self.languages)))], [np.zeros(0, np.int64)]
-        data, offsets = _text.raw(column)
-        i = 0
-        while i < len(column):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (8 << 20), "right")) - 1)
-            classes, new = self.read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for _, _, data, offsets in _text.slabs(column):
+            classes, new = self.read(data, offsets)
             size = np.diff(new)
             with np.errstate(invalid="ignore", divide="ignore"):
                 out.append(self.phrases(classes, new) * self.bits / size[:, None])
             sizes.append(size)
-            i = j
         return np.concatenate(out), np.concatenate(sizes)
 
 
@@ -135,21 +169,66 @@ def limits(size: np.ndarray, max_bits: float = MAX_BITS, long_bits: float = LONG
     return np.minimum(max_bits, long_bits + SLACK / np.maximum(size, 1))
 
 
-def train(docs: DataFrame, label: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> Model:
-    """Fit on at most ``sample_docs`` documents and ``sample_bytes`` bytes of each language."""
-    rows = docs.where(F.col(label).isNotNull() & (F.octet_length("text") > 0)).select(F.col(label).alias("label"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)).alias("order"))
-    first = W.partitionBy("label").orderBy("order", "id")
-    chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).select("label", "id", "order", "n")
+def _once(batches):
+    """One row for each (label, n) that a task has; columns: label, n, ..."""
+    seen = set()
+    for b in batches:
+        fresh = []
+        for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(i)
+        yield b.take(pa.array(fresh, pa.int64()))
+
+
+def _front(most: int):
+    """Of each label the first ``most`` different (long, order, hash) that a task has."""
+
+    def first(table: pa.Table) -> pa.Table:
+        table = table.group_by(table.column_names).aggregate([]).sort_by([(c, "ascending") for c in table.column_names])
+        codes = table.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
+        return table.filter(pa.array(place < most))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if b.num_rows:
+                new = pa.Table.from_batches([b])
+                held = first(new if held is None else pa.concat_tables([held, new]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
+def sample(docs: DataFrame, label: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> DataFrame:
+    """(label, n, bytes): the chosen documents of each label, numbered from 1 in their order; each once,
+    and no more than ``sample_docs`` or ``sample_bytes`` of a label unless its shortest is longer."""
+    size = F.octet_length("text")
+    rows = docs.where(F.col(label).isNotNull() & (size > 0)).select(
+        F.col(label).alias("label"), F.when(size > sample_bytes, size).otherwise(0).alias("long"), size.alias("size"),
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.lit(seed)).alias("order"), F.xxhash64("text").alias("hash"),
+    )
+    # Each task sends sample_docs small rows of a label at most, however often a row is repeated.
+    front = map_arrow(rows.select("label", "long", "order", "hash", "size"), _front(sample_docs), "label string, long int, order bigint, hash bigint, size int").distinct()
+    first = W.partitionBy("label").orderBy("long", "order", "hash")
+    upto = F.sum("size").over(first.rowsBetween(W.unboundedPreceding, 0))
+    chosen = front.withColumns({"n": F.row_number().over(first), "upto": upto}).where((F.col("n") <= sample_docs) & ((F.col("upto") <= sample_bytes) | (F.col("n") == 1))).select("label", "order", "hash", "n")
     chosen = _scale.stored(chosen, "sample")
-    text = docs.select(F.col("doc_id").alias("__id"), F.col(label).alias("__label"), "text")
-    # Bounded by sample_docs for each label, hence small; without a hint Spark decides by size.
-    got = text.join(chosen, text["__id"].eqNullSafe(chosen["id"]) & (text["__label"] == chosen["label"])).select("label", "n", F.encode(F.substring("text", 1, sample_bytes), "utf-8").alias("bytes"))
+    text = docs.where(size > 0).select(F.col(label).alias("__label"), F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.lit(seed)).alias("__order"), F.xxhash64("text").alias("__hash"), "text")
+    # At most sample_docs small rows for each label; without a hint Spark decides by size.
+    got = text.join(chosen, (F.col("__label") == chosen["label"]) & (F.col("__order") == chosen["order"]) & (F.col("__hash") == chosen["hash"]))
+    few = map_arrow(got.select("label", "n", F.encode("text", "utf-8").alias("bytes")), _once, "label string, n int, bytes binary")
+    return few.groupBy("label", "n").agg(F.min("bytes").alias("bytes"))
+
+
+def train(docs: DataFrame, label: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> Model:
+    """Fit on the :func:`sample` of each language."""
     samples: dict[str, list[np.ndarray]] = {}
-    for r in sorted(got.collect(), key=lambda r: (r.label, r.n, bytes(r.bytes))):
-        kept = samples.setdefault(r.label, [])
-        room = sample_bytes - sum(map(len, kept))
-        if room > 0:
-            kept.append(np.frombuffer(bytes(r.bytes)[:room], np.uint8))
+    for r in sorted(sample(docs, label, sample_docs, sample_bytes, seed).collect(), key=lambda r: (r.label, r.n)):
+        samples.setdefault(r.label, []).append(np.frombuffer(bytes(r.bytes), np.uint8))
     return Model(samples)
 
 

@@ -6,12 +6,16 @@ statistics (signs, capitals, digits, repeats, ...) more of them can never raise
 flattened into numpy arrays of nodes; scoring walks all documents down a tree level by level.
 
 Fitting uses at most ``max_rows`` labelled documents, in order of a seeded hash of doc_id; that is the
-only bound. Labels with several values for a doc_id count as the mean of them (0.5 counts as good).
+only bound. Labels with several values for a doc_id count as the mean of them (0.5 counts as good). Of
+rows that share a doc_id the one whose text has the smallest hash is fitted on, so no more than
+``max_rows`` rows come to the driver, whatever is repeated.
 
 Defined cases: null and empty texts have all statistics 0 and get the score that belongs to that. Null
 labels and labels of documents that aren't there don't count; with no labels at all, or all of one
 kind, the score is the share of good ones (1.0 without any). Null or repeated doc_ids give a row each.
-Other columns are never read.
+Of splits with the same gain the first statistic in order stands, and of its thresholds the smallest;
+a score of just ``keep_from`` is kept. Very long texts are measured whole, one at a time. Other columns
+are never read.
 """
 
 from __future__ import annotations
@@ -185,16 +189,31 @@ def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = MAX_ROWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, statistics, labels) of at most ``max_rows`` labelled documents."""
+    """(doc_ids, statistics, labels) of at most ``max_rows`` labelled documents, one row for each."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("id")).agg((F.avg(target) >= 0.5).cast("int").alias("y"))
     known = _scale.stored(known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_rows), "labels")
-    texts = docs.select("doc_id", "text")
-    chosen = texts.join(F.broadcast(known), texts["doc_id"] == known["id"]).select("id", "y", "text")  # max_rows of 12 bytes
-    rows = _measured(chosen, ["id", "y"]).collect()
-    rows.sort(key=lambda r: (r.id, r.x))
+    few = F.broadcast(known)  # max_rows of 12 bytes
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash"), "text")
+    # Of rows that share an id one is measured; which is settled on hashes, folded by each task.
+    chosen = texts.join(few, texts["doc_id"] == few["id"]).groupBy("id").agg(F.min("hash").alias("hash"), F.first("y").alias("y"))
+    chosen = F.broadcast(_scale.stored(chosen, "chosen"))
+    rows = texts.join(chosen, (texts["doc_id"] == chosen["id"]) & (texts["hash"] == chosen["hash"])).select("id", "y", "text")
+    rows = map_arrow(rows, _first_of_each, "id bigint, y int, text string")
+    rows = _measured(rows, ["id", "y"]).groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: r.id)
     return np.array([r.id for r in rows]), np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float)
 
 
+def _first_of_each(batches):
+    """A task's first row of each id; the rows of an id are equal."""
+    seen: set[int] = set()
+    for b in batches:
+        ids = b.column(0).to_numpy()
+        fresh = [int(i) for i in np.sort(np.unique(ids, return_index=True)[1]) if int(ids[i]) not in seen]
+        seen.update(ids[fresh].tolist())
+        yield b.take(pa.array(fresh, pa.int64()))
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = MAX_ROWS, seed: int = SEED) -> Trees:
     _, x, y = sample(docs, labels, target, max_rows, seed)
     return fit(x, y)

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empties, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -222,15 +223,13 @@ def test_keep_mixed(docs, odd):
 def brute_phrases(model, samples, data, language):
     classes = bytes(model.read(data, np.array([0, len(data)]))[0])
     known = [bytes(model.read(d, np.array([0, len(d)]))[0]) for d in samples[language]]
-    n = 0
-    for k in range(0, len(classes), langid.BLOCK):
-        block, i = classes[k : k + langid.BLOCK], 0
-        while i < len(block):
-            j = i + 1
-            while j <= len(block) and any(block[i:j] in x for x in known):
-                j += 1
-            i = max(i + 1, j - 1)
-            n += 1
+    n = i = 0
+    while i < len(classes):
+        j = i + 1
+        while j <= len(classes) and any(classes[i:j] in x for x in known):
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
     return n
 
 
@@ -240,12 +239,41 @@ def test_langid_equals_brute_force():
     texts = ["The cat!! and dolor", "", "déjà", "zzz 漢", "amet sit dolor  ipsum\nlorem", "a " * 5000]
     offsets = [model.read(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in texts]
     for t, (c, o) in zip(texts, offsets, strict=True):
-        assert model.phrases(c, o).tolist() == [[brute_phrases(model, samples, np.frombuffer(t.encode(), np.uint8), k) for k in ("x", "y")]]
+        want = [[brute_phrases(model, samples, np.frombuffer(t.encode(), np.uint8), k) for k in ("x", "y")]]
+        assert all(model.phrases(c, o, block).tolist() == want for block in (1, 2, 3, 7, 64, 4096))
     together = model.scores(pa.array(texts))
     alone = np.concatenate([model.scores(pa.array([t])) for t in texts])
     assert np.array_equal(together, alone, equal_nan=True)
 
 
+def test_langid_phrases_dont_end_with_blocks():
+    """Periodic texts, where walks from different places never meet, and random ones."""
+    rng = random.Random(11)
+    samples = {"x": [np.frombuffer(b"abc" * 7 + b"acbbca", np.uint8)], "y": [np.frombuffer("".join(rng.choices("abc", k=60)).encode(), np.uint8)]}
+    model = langid.Model(samples)
+    texts = [b"abc" * 60, b"bca" * 41 + b"aab", b"", *["".join(rng.choices("abc", k=rng.randrange(1, 200))).encode() for _ in range(20)]]
+    want = [[brute_phrases(model, samples, np.frombuffer(t, np.uint8), k) for k in ("x", "y")] for t in texts]
+    offsets = np.cumsum([0, *map(len, texts)])
+    c, o = model.read(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for block in (1, 2, 5, 16, 23, 4096):
+        assert model.phrases(c, o, block).tolist() == want
+
+
+def test_langid_sample_is_bounded(spark):
+    """However often ids are null or the same, and rows repeated."""
+    n = 10_000
+    same = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id") % 50).alias("text"), F.lit("en").alias("lang"))
+    one = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("texto "), F.col("id")).alias("text"), F.lit("es").alias("lang"))
+    long = spark.createDataFrame([(1, "lang " * 9000, "de"), (2, "kurz " * 7000, "de"), (3, "mot " * 5000, "fr"), (4, "mot " * 900, "fr"), (5, "mot " * 800, "fr")], "doc_id long, text string, lang string")
+    got = langid.sample(same.unionByName(one).unionByName(long)).collect()
+    by = {k: [r for r in got if r.label == k] for k in ("en", "es", "de", "fr")}
+    assert len(by["en"]) == 50 and len(by["es"]) == langid.SAMPLE_DOCS  # all different texts; the bound
+    assert len({bytes(r.bytes) for r in by["es"]}) == langid.SAMPLE_DOCS
+    assert [len(r.bytes) for r in by["de"]] == [35_000]  # only long ones: the shortest, whole
+    assert sorted(len(r.bytes) for r in by["fr"]) == [3200, 3600]
+    assert langid.sample(long.limit(0)).count() == 0
+
+
 def test_langid_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(df, keep=["doc_id", "lang"])
@@ -419,6 +447,80 @@ def test_statistics_equal_slow_ones(docs):
     assert np.allclose(quality.statistics(pa.array(texts)), [slow_statistics(t) for t in texts])
 
 
+def slow_trees(x, y, monotone, trees, depth, rate, bins, least):
+    """Boosting by the book, one row and one split after the other: nested (feature, threshold, left,
+    right) with numbers as leaves, and the base."""
+    n, m = len(x), len(x[0])
+    cuts = [sorted({sorted(r[j] for r in x)[math.floor(q * (n - 1))] for q in np.linspace(0, 1, bins + 1)[1:-1]}) for j in range(m)]
+    base = math.log(sum(y) / (n - sum(y)))
+    margin, forest = [base] * n, []
+
+    def best_value(rows, low, high):
+        g, h = sum(grad[r] for r in rows), sum(hess[r] for r in rows)
+        return min(max(g / (h + 1), low), high), g, h
+
+    def gain(g, h, v):
+        return 2 * g * v - (h + 1) * v * v
+
+    def grow(rows, low, high, left):
+        value, g, h = best_value(rows, low, high)
+        best = (1e-6, None)
+        for j in range(m) if left else ():
+            for c in cuts[j]:
+                a, b = [r for r in rows if x[r][j] <= c], [r for r in rows if x[r][j] > c]
+                if min(len(a), len(b)) < least:
+                    continue
+                (va, ga, ha), (vb, gb, hb) = best_value(a, low, high), best_value(b, low, high)
+                if monotone[j] * (vb - va) < 0:
+                    continue
+                more = gain(ga, ha, va) + gain(gb, hb, vb) - gain(g, h, value)
+                if more > best[0] + 1e-9:
+                    best = (more, (j, c, a, b, va, vb))
+        if best[1] is None:
+            return rate * value
+        j, c, a, b, va, vb = best[1]
+        middle = (va + vb) / 2
+        sides = {0: ((low, high), (low, high)), 1: ((low, middle), (middle, high)), -1: ((middle, high), (low, middle))}[monotone[j]]
+        return (j, c, grow(a, *sides[0], left - 1), grow(b, *sides[1], left - 1))
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in margin]
+        grad, hess = [b - a for a, b in zip(p, y, strict=True)], [max(a * (1 - a), 1e-6) for a in p]
+        tree = grow(range(n), -math.inf, math.inf, depth)
+        forest.append(tree)
+        margin = [v + walk(tree, r) for v, r in zip(margin, x, strict=True)]
+    return base, forest
+
+
+def walk(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_trees_equal_slow_ones():
+    """The histograms, the constraints and the flattened nodes."""
+    rng = np.random.default_rng(7)
+    for monotone in ((0, 0, 0), (1, -1, 0), (-1, -1, 1)):
+        x = np.round(rng.normal(size=(90, 3)), 1)  # with ties
+        y = (x[:, 0] - x[:, 1] + rng.normal(size=90) > 0).astype(float)
+        fast = quality.fit(x, y, monotone, trees=4, depth=3, rate=0.3, bins=8, least=5)
+        base, forest = slow_trees(x.tolist(), y.tolist(), monotone, 4, 3, 0.3, 8, 5)
+        new = np.round(rng.normal(size=(200, 3)), 1)
+        want = [base + sum(walk(t, r) for t in forest) for r in [*x.tolist(), *new.tolist()]]
+        assert np.allclose(fast.raw(np.concatenate([x, new])), want)
+
+
+def test_quality_sample_is_bounded(spark):
+    """3,000 rows of one doc_id, equal and other ones, are one."""
+    many = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
+    some = spark.createDataFrame([(2, "other"), (3, None), (4, "last"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (1, 1)], "doc_id long, quality int")
+    ids, x, y = quality.sample(many.unionByName(some), labels, max_rows=10)
+    assert ids.tolist() == [1, 2, 3, 4] and y.tolist() == [1, 0, 1, 0] and x.shape == (4, len(quality.FEATURES))
+    assert len(quality.sample(many, labels, max_rows=1)[0]) <= 1
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None), (99, 0), (4, 0)], "doc_id long, quality int")
     assert quality.score(odd, quality.train(odd, labels)).count() == len(ODD)
