@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to a Python worker, where the session hasn't said otherwise than
+#: Spark does. Buffers for several batches stand on both sides of every running task.
+BATCH_BYTES, _SPARKS = 8 << 20, 64 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the workers, once for each application."""
     sc = spark.sparkContext
+    if spark.conf.get(_LIMIT, "") == f"{_SPARKS}b":
+        spark.conf.set(_LIMIT, f"{BATCH_BYTES}b")
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -32,9 +38,29 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def _tidy(function):
+    """``function``, giving memory back to the system when its task ends: workers live on."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with the package at hand in the workers, for columns of any name."""
     ship(df.sparkSession)
+    function = _tidy(function)
     names = df.columns
     if not any(set(c) & set(".`") for c in names):
         return df.mapInArrow(function, schema)
