@@ -22,7 +22,7 @@ _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the workers, once for each application."""
     sc = spark.sparkContext
-    if spark.conf.get(_LIMIT, "") == f"{_SPARKS}b":
+    if spark.conf.get(_LIMIT, f"{_SPARKS}b") == f"{_SPARKS}b":
         spark.conf.set(_LIMIT, f"{BATCH_BYTES}b")
     if sc.applicationId in _shipped:
         return
