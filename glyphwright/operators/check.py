@@ -1,8 +1,9 @@
 """Finding misspellings: identifiers, then words, against a lexicon; ignored places left out.
 
-A row's tokens stay in arrays, and only those that the lexicon may know are exploded, so texts aren't
-copied for each token and nothing is shuffled: the lexicon is broadcast after its size has been
-counted (its size doesn't depend on the corpus).
+A check is one narrow pass over the rows: a task reads its texts with :mod:`functions.scan` and gives a
+row for each finding, so nothing is shuffled and texts go no further. The lexicon, whose size doesn't
+depend on the corpus, is measured first and broadcast, in several parts with a pass for each if it is
+larger than ``BROADCAST_BYTES``.
 """
 
 from __future__ import annotations
@@ -12,41 +13,64 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from ..functions import tokens as T
-from ..shipping import ship
+from ..functions import scan
+from ..shipping import map_arrow
 from . import dialect
 
 #: Identifiers that look like misspellings and aren't.
 BUILT_IN = ("O_WRONLY", "dBA")
-#: Keys up to which a lexicon is also used as a set within the row, and bytes up to which it is broadcast.
-SET_KEYS, BROADCAST_BYTES = 200_000, 64 << 20
-#: What an identifier of more than one word, or of other signs than letters, has somewhere.
-_SEVERAL = r"[^\p{IsLowercase}\p{IsUppercase}]|\p{IsLowercase}\p{IsUppercase}|\p{IsUppercase}\p{IsUppercase}\p{IsLowercase}"
-_NONE = "cast(array() as array<string>)"
-_ENTRY = "key string, status string, corrections array<string>"
+#: Bytes of a lexicon that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
+#: What an entry takes in a task besides its letters.
+ENTRY_BYTES = 300
+FOUND = StructType([
+    StructField("kind", StringType(), False), StructField("byte_offset", LongType(), False), StructField("line_num", LongType()), StructField("line_byte_offset", LongType(), False),
+    StructField("typo", StringType(), False), StructField("status", StringType(), False), StructField("corrections", ArrayType(StringType()), False),
+])
+#: What is given besides if asked for: the line that holds the finding, and the code points before it there.
+PLACED = StructType([StructField("line", StringType(), False), StructField("prefix_chars", LongType(), False)])
 
 
 @dataclass
 class Lexicon:
-    """words: (key in lower case, status, corrections); identifiers: (key, status, corrections);
-    expressions that make identifiers and words valid."""
+    """words: (key, status, corrections) by key in lower case, as rows or as a mapping; identifiers: by
+    exact spelling; expressions that make identifiers and words valid."""
 
-    words: DataFrame
-    identifiers: DataFrame
+    words: DataFrame | Mapping[str, scan.Verdict]
+    identifiers: Mapping[str, scan.Verdict] = field(default_factory=dict)
     ignore_identifiers: Sequence[str] = field(default_factory=tuple)
     ignore_words: Sequence[str] = field(default_factory=tuple)
-    keys: tuple[frozenset, frozenset] | None = None
-
-    def sets(self) -> tuple[frozenset, frozenset] | None:
-        """The keys of identifiers and words, if they are few."""
-        if self.keys is None:
-            found = [df.select("key").limit(SET_KEYS + 1).collect() for df in (self.identifiers, self.words)]
-            self.keys = tuple(frozenset(r.key for r in rows) for rows in found)
-        return self.keys if max(map(len, self.keys)) <= SET_KEYS else None
+    held: list | None = None
+
+    def parts(self, spark: SparkSession) -> list:
+        """Broadcast matchers, each of a part of the words that is within the bound."""
+        if self.held is None:
+            self.held = [spark.sparkContext.broadcast(m) for m in self._matchers()]
+        return self.held
+
+    def _matchers(self):
+        if isinstance(self.words, Mapping):
+            total = sum(ENTRY_BYTES + len(k) for k in self.words)
+            n = max(1, -(-total // BROADCAST_BYTES))
+            items = list(self.words.items())
+            pieces = (dict(items[i::n]) for i in range(n))
+        else:
+            size = F.octet_length("key") + F.aggregate(F.coalesce("corrections", F.array().cast("array<string>")), F.lit(0), lambda a, c: a + F.coalesce(F.octet_length(c), F.lit(0)))
+            total = self.words.agg(F.sum((size + ENTRY_BYTES).cast("bigint"))).first()[0] or 0
+            n = max(1, -(-total // BROADCAST_BYTES))
+            pieces = (self._piece(i, n) for i in range(n))
+        for i, words in enumerate(pieces):
+            yield scan.Matcher(words, self.identifiers, tuple(map(translate_pattern, self.ignore_identifiers)), tuple(map(translate_pattern, self.ignore_words)), own_names=i == 0)
+
+    def _piece(self, i: int, n: int) -> dict[str, scan.Verdict]:
+        rows = self.words.where(F.col("key").isNotNull() & (F.col("status") != "Valid") & (F.pmod(F.xxhash64("key"), F.lit(n)) == i))
+        return {r.key.lower(): (r.status, tuple(r.corrections or ())) for r in rows.select("key", "status", "corrections").collect()}
 
 
 def interpret(overrides: Mapping[str, str]) -> list[tuple]:
@@ -54,30 +78,22 @@ def interpret(overrides: Mapping[str, str]) -> list[tuple]:
     return [(k, "Valid", []) if k == v else (k, "Invalid", []) if v == "" else (k, "Corrections", [v]) for k, v in overrides.items()]
 
 
-def lexicon(spark: SparkSession, dictionary: DataFrame | None = None, compiled: DataFrame | None = None, locale: str = "en", words: Mapping[str, str] | None = None, identifiers: Mapping[str, str] | None = None, ignore_identifiers: Sequence[str] = (), ignore_words: Sequence[str] = ()) -> Lexicon:
-    """Overrides come before the dictionary, the dictionary before the dialect."""
-    over = spark.createDataFrame([(k.lower(), s, c) for k, s, c in interpret(words or {})], _ENTRY)
-    base = dictionary if dictionary is not None else spark.createDataFrame([], "key string, corrections array<string>")
-    known = dialect.chain(base, compiled, locale)
-    known = known.join(over, "key", "left_anti").unionByName(over) if words else known
-    named = interpret(identifiers or {})
-    taken = {k for k, _, _ in named}
-    rows = [*named, *[(k, "Valid", []) for k in BUILT_IN if k not in taken]]
-    return Lexicon(known, spark.createDataFrame(rows, _ENTRY), tuple(ignore_identifiers), tuple(ignore_words))
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows * 100 <= BROADCAST_BYTES else df
-
-
-def _once(df: DataFrame, keep: Sequence[Column], **made: Column) -> DataFrame:
-    """``keep`` and the columns ``made``, which are worked out once a row whatever is done with them."""
-    out = df.select(*keep, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("__made"))
-    return out.select(*[c for c in out.columns if c != "__made"], *[F.col(f"__made.{k}").alias(k) for k in made])
-
-
-def _any(text: Column, patterns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in patterns], F.lit(False))
+def lexicon(spark: SparkSession, dictionary: DataFrame | Mapping[str, Sequence[str]] | None = None, compiled: DataFrame | None = None, locale: str = "en", words: Mapping[str, str] | None = None, identifiers: Mapping[str, str] | None = None, ignore_identifiers: Sequence[str] = (), ignore_words: Sequence[str] = ()) -> Lexicon:
+    """Overrides come before the dictionary, the dictionary before the dialect. Of words that differ
+    in case alone the last one counts."""
+    over = {k.lower(): (s, tuple(c)) for k, s, c in interpret(words or {})}
+    named = {i: ("Valid", ()) for i in BUILT_IN} | {k: (s, tuple(c)) for k, s, c in interpret(identifiers or {})}
+    if dialect.LOCALES[locale] is None or compiled is None:
+        if dictionary is None or isinstance(dictionary, Mapping):
+            base = {k.lower(): ("Corrections" if c else "Invalid", tuple(c)) for k, c in (dictionary or {}).items()}
+            return Lexicon(base | over, named, tuple(ignore_identifiers), tuple(ignore_words))
+    if dictionary is None or isinstance(dictionary, Mapping):
+        dictionary = spark.createDataFrame([(k, list(c)) for k, c in (dictionary or {}).items()], "key string, corrections array<string>")
+    known = dialect.chain(dictionary, compiled, locale)
+    if over:
+        rows = spark.createDataFrame([(k, s, list(c)) for k, (s, c) in over.items()], "key string, status string, corrections array<string>")
+        known = known.join(F.broadcast(rows.select("key")), "key", "left_anti").unionByName(rows)  # a project's own words
+    return Lexicon(known, named, tuple(ignore_identifiers), tuple(ignore_words))
 
 
 def translate_pattern(pattern: str) -> str:
@@ -90,96 +106,89 @@ def translate_pattern(pattern: str) -> str:
     return (f"(?{rest})" if rest else "") + body
 
 
-def ignore_blocks(text: Column, patterns: Sequence[str]) -> Column:
-    """The places that any of the expressions matches, as (start, end) in bytes."""
-    compiled = [re.compile(translate_pattern(p)) for p in patterns]
+def _apart(found, at: np.ndarray, row: np.ndarray, data: np.ndarray, offsets: np.ndarray, patterns) -> np.ndarray:
+    """Which findings have neither their first nor their last byte in a place that is ignored; a place
+    that lies inside one doesn't count."""
+    keep = np.ones(len(found), bool)
+    for r in np.unique(row):
+        places = scan.blocks(bytes(data[offsets[r] : offsets[r + 1]]), patterns)
+        if places:
+            own = np.flatnonzero(row == r)
+            first = at[own] - offsets[r]
+            last = first + np.array([len(found[i][2].encode()) for i in own]) - 1
+            for x, y in places:
+                keep[own[((x <= first) & (first < y)) | ((x <= last) & (last < y))]] = False
+    return keep
+
 
-    @F.pandas_udf("array<struct<start: bigint, end: bigint>>")
-    def blocks(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return []
-            size = lambda n: n if t.isascii() else len(t[:n].encode())
-            return [{"start": size(m.start()), "end": size(m.end())} for p in compiled for m in p.finditer(t)]
+def _found(matcher: scan.Matcher, column: pa.Array, ignore, unicode: bool, valid: bool):
+    """(first row, bytes, offsets, row, place, findings) of each slab of a column."""
+    for first, _, data, offsets in scan.slabs(column):
+        at, found = matcher.find(data, offsets, unicode, valid)
+        row = np.searchsorted(offsets, at, "right") - 1
+        if ignore and len(found):
+            keep = np.flatnonzero(_apart(found, at, row, data, offsets, ignore))
+            at, row, found = at[keep], row[keep], [found[i] for i in keep]
+        yield first, data, offsets, row, at, found
 
-        return texts.map(one)
 
-    return blocks(text)
+def _line_of(data: np.ndarray, begin: int, end: int) -> str:
+    feed = np.flatnonzero(data[begin:end] == 10)
+    return bytes(data[begin : begin + feed[0] if len(feed) else end]).decode("utf-8", "replace").removesuffix("\r")
 
 
-def is_ignored(blocks: Column, start: Column, typo: Column) -> Column:
-    """Whether the first or the last byte lies in a block; a block that lies inside doesn't count."""
-    last = start + F.octet_length(typo) - 1
-    inside = lambda b, at: (at >= b["start"]) & (at < b["end"])
-    return F.exists(blocks, lambda b: inside(b, start) | inside(b, last))
+def _backticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def findings(rows: DataFrame, lex: Lexicon, text: str = "text", keep: Sequence[str] = (), ignore: Sequence[str] = (), unicode: bool = True) -> DataFrame:
+def findings(rows: DataFrame, lex: Lexicon, text: str = "text", keep: Sequence[str] = (), ignore: Sequence[str] = (), unicode: bool = True, placed: bool = False) -> DataFrame:
     """The columns ``keep`` with kind (identifier or word), byte_offset, line_num, line_byte_offset,
-    typo, status (Invalid or Corrections) and corrections, one row for each misspelling.
+    typo, status (Invalid or Corrections) and corrections, one row for each misspelling; ``placed``: with
+    line and prefix_chars too. ``text`` is a string column, or a binary one, in which every valid piece
+    of UTF-8 is read by itself. Without ``unicode`` identifiers are read by bytes.
 
     Null texts have none. Rows are independent; repeated rows repeat their findings.
     """
-    ship(rows.sparkSession)
-    sets = lex.sets()
-    t = F.col("__t")
-    own = [F.col(c) for c in keep]
-    base = rows.select(*own, F.col(text).alias("__t")).where(t.isNotNull() if unicode else t.isNotNull() & T.is_ascii(t))
-    # Each explode of one struct keeps the optimizer from working out its costly parts again in filters.
-    base = _once(base, [*own, t], __i=T.identifiers(t))
-    numbered = F.transform("__i", lambda x, i: F.struct(i.alias("at"), x.alias("token")))
-    if sets is not None:
-        names, words = sorted(sets[0]), sorted(sets[1])
-        known = lambda x, keys: x.isin(keys) if keys else F.lit(False)
-        several = lambda x: F.rlike(x, F.lit(_SEVERAL)) & F.exists(T.words(x), lambda w: known(F.lower(w), words))
-        numbered = F.filter(numbered, lambda s: known(s["token"], names) | known(F.lower(s["token"]), words) | several(s["token"]))
-    base = _once(base, [*own, t, F.col("__i")], __c=numbered).where(F.size("__c") > 0)
-    base = _once(base, [*own, t, F.col("__i"), F.col("__c")], __g=T.gaps(t))
-    if ignore:
-        base = base.withColumn("__b", ignore_blocks(t, ignore))
-    more = [F.col("__b")] if ignore else []
-    one = base.select(*own, "__t", "__g", "__i", *more, F.explode("__c").alias("__x")).select(*own, "__t", "__g", "__i", *more, F.col("__x.at").alias("__at"), F.col("__x.token").alias("__token"))
-    n_words = len(sets[1]) if sets is not None else lex.words.count()
-    n_names = len(sets[0]) if sets is not None else lex.identifiers.count()
-    names = lex.identifiers.select(F.col("key").alias("__token"), F.col("status").alias("__is"), F.col("corrections").alias("__ic"))
-    one = one.join(_small(names, n_names), "__token", "left")
-    if lex.ignore_identifiers:
-        one = one.withColumn("__is", F.when(_any(F.col("__token"), lex.ignore_identifiers), "Valid").otherwise(F.col("__is")))
-    one = one.where("__is is null or __is <> 'Valid'")
-    token = F.col("__token")
-    gaps, parts = T.word_gaps(token), T.words(token)
-    each = F.transform(parts, lambda w, i: F.struct(F.lit("word").alias("kind"), w.alias("typo"), i.alias("n")))
-    whole = F.array(F.struct(F.lit("identifier").alias("kind"), token.alias("typo"), F.lit(0).alias("n")))
-    units = one.withColumn("__u", F.explode(F.when(F.col("__is").isNotNull(), whole).otherwise(each)))
-    units = units.select("*", F.col("__u.kind").alias("kind"), F.col("__u.typo").alias("typo"), F.col("__u.n").alias("__n"))
-    is_word = F.col("kind") == "word"
-    units = units.withColumns({"__key": F.when(is_word & ~F.rlike("typo", F.lit("^[0-9]+$")), F.lower("typo"))})
-    table = lex.words.select(F.col("key").alias("__key"), F.col("status").alias("__ws"), F.col("corrections").alias("__wc"))
-    units = units.join(_small(table, n_words), "__key", "left")
-    if lex.ignore_words:
-        units = units.withColumn("__ws", F.when(_any(F.col("typo"), lex.ignore_words), "Valid").otherwise(F.col("__ws")))
-    case = T.word_case(F.col("typo"))
-    units = units.withColumns({
-        "status": F.when(is_word, F.col("__ws")).otherwise(F.col("__is")),
-        "corrections": F.when(is_word, F.transform("__wc", lambda c: T.case_correct(c, case))).otherwise(F.col("__ic")),
-    }).where("status is not null and status <> 'Valid'")
-    at = T.byte_offset(F.col("__g"), F.col("__i"), F.col("__at")) + F.when(is_word, T.byte_offset(gaps, parts, F.col("__n"))).otherwise(F.lit(0))
-    out = units.withColumn("byte_offset", at)
-    if ignore:
-        out = out.where(~is_ignored(F.col("__b"), F.col("byte_offset"), F.col("typo")))
-    return out.select(*own, "kind", "byte_offset", T.line_number(t, F.col("byte_offset")).alias("line_num"), T.line_offset(t, F.col("byte_offset")).alias("line_byte_offset"), "typo", "status", F.coalesce("corrections", F.expr(_NONE)).alias("corrections"))
-
-
-def check_files(files: DataFrame, lex: Lexicon, path: str = "path", text: str = "text", ignore: Sequence[str] = (), names: bool = True, contents: bool = True, unicode: bool = True) -> DataFrame:
+    patterns = [re.compile(translate_pattern(p)) for p in ignore]
+    base = rows.select(*[_backticked(c) for c in keep], F.col(text).alias("__text"))
+    valid = not isinstance(base.schema["__text"].dataType, BinaryType)
+    n = len(keep)
+    schema = StructType([*base.schema.fields[:n], *FOUND.fields, *(PLACED.fields if placed else ())])
+
+    def one(shared):
+        def run(batches):
+            matcher = shared.value.ready()
+            for b in batches:
+                for first, data, offsets, row, at, found in _found(matcher, b.column(n), patterns, unicode, valid):
+                    if not len(found):
+                        continue
+                    number, begin = scan.lines(data, offsets, row, at)
+                    columns = [c.take(pa.array(row + first)) for c in b.columns[:n]]
+                    kind, _, typo, status, corrections = zip(*found, strict=True)
+                    columns += [
+                        pa.array(kind, pa.string()), pa.array(at - offsets[row]), pa.array(number), pa.array(at - begin),
+                        pa.array(typo, pa.string()), pa.array(status, pa.string()), pa.array(map(list, corrections), pa.list_(pa.string())),
+                    ]
+                    if placed:
+                        columns.append(pa.array([_line_of(data, x, offsets[r + 1]) for x, r in zip(begin.tolist(), row.tolist(), strict=True)], pa.string()))
+                        columns.append(pa.array([len(bytes(data[x:y]).decode("utf-8", "replace")) for x, y in zip(begin.tolist(), at.tolist(), strict=True)], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        return run
+
+    return reduce(DataFrame.unionAll, [map_arrow(base, one(part), schema) for part in lex.parts(rows.sparkSession)])
+
+
+def check_files(files: DataFrame, lex: Lexicon, path: str = "path", text: str = "text", ignore: Sequence[str] = (), names: bool = True, contents: bool = True, unicode: bool = True, placed: bool = False) -> DataFrame:
     """Findings in file names (line_num null; only the last part of a path) and in contents."""
     parts = []
     if names:
         named = files.select(path, F.element_at(F.split(path, "/"), -1).alias("__name"))
-        parts.append(findings(named, lex, "__name", [path], ignore, unicode).withColumn("line_num", F.lit(None).cast("bigint")))
+        parts.append(findings(named, lex, "__name", [path], ignore, unicode, placed).withColumn("line_num", F.lit(None).cast("bigint")))
     if contents:
-        parts.append(findings(files, lex, text, [path], ignore, unicode))
+        parts.append(findings(files, lex, text, [path], ignore, unicode, placed))
     if not parts:
-        return findings(files.limit(0), lex, text, [path])
+        return findings(files.limit(0), lex, text, [path], placed=placed)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..shipping import ship
+from ..shipping import map_arrow, ship
 from . import check
 
 
@@ -27,14 +33,60 @@ def splice(text: Column, fixes: Column) -> Column:
     return F.aggregate(F.array_sort(fixes), start, step, lambda a: F.concat(a["out"], F.substr(raw, (a["at"] + 1).cast("int"))).cast("string"))
 
 
-def fix_text(rows: DataFrame, lex: check.Lexicon, key: str, text: str = "text", ignore: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with fixed_text and n_fixed: what has exactly one correction is corrected. ``key``
-    must name a row; rows that repeat it with the same text are corrected alike."""
-    found = check.findings(rows, lex, text, [key], ignore).where(check.is_fixable(F.col("corrections")))
-    fixes = found.groupBy(F.col(key).alias("__key")).agg(F.collect_set(F.struct("byte_offset", "typo", F.col("corrections")[0].alias("fix"))).alias("__fixes"))
-    joined = rows.join(fixes, rows[key] == F.col("__key"), "left")
-    fixed = F.when(F.col("__fixes").isNull(), rows[text]).otherwise(splice(rows[text], F.col("__fixes")))
-    return joined.select(*[rows[c] for c in rows.columns], fixed.alias("fixed_text"), F.coalesce(F.size("__fixes"), F.lit(0)).alias("n_fixed"))
+_FIXES = ArrayType(StructType([StructField("at", LongType()), StructField("size", LongType()), StructField("fix", StringType())]))
+
+
+def put(text: bytes, fixes: Sequence[tuple[int, int, str]]) -> bytes:
+    """``text`` with each of ``fixes`` (place, size of what is there, what comes there; apart from each
+    other) put in."""
+    out, at = [], 0
+    for start, size, fix in sorted(fixes):
+        out += [text[at:start], fix.encode()]
+        at = start + size
+    return b"".join([*out, text[at:]])
+
+
+def fix_text(rows: DataFrame, lex: check.Lexicon, text: str = "text", ignore: Sequence[str] = (), unicode: bool = True) -> DataFrame:
+    """``rows`` with fixed_text and n_fixed: what has exactly one correction is corrected. Every row is
+    corrected by itself, where it is; columns of these names are replaced. A binary ``text`` gives a
+    binary fixed_text."""
+    patterns = [re.compile(check.translate_pattern(p)) for p in ignore]
+    kept = [c for c in rows.columns if c.lower() not in ("fixed_text", "n_fixed")]
+    rows = rows.select(*[F.col(check._backticked(c)) for c in kept])
+    fields, at = rows.schema.fields, [c.lower() for c in kept].index(text.lower())
+    binary = isinstance(fields[at].dataType, BinaryType)
+    parts = lex.parts(rows.sparkSession)
+    ends = [StructField("fixed_text", fields[at].dataType), StructField("n_fixed", IntegerType(), False)]
+
+    def one(shared, first, last):
+        def run(batches):
+            matcher = shared.value.ready()
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                held = [[] for _ in range(b.num_rows)] if first else [[(f["at"], f["size"], f["fix"]) for f in x] for x in b.column(len(fields)).to_pylist()]
+                for start, data, offsets, row, place, found in check._found(matcher, b.column(at), patterns, unicode, not binary):
+                    for r, p, f in zip(row.tolist(), (place - offsets[row]).tolist() if len(found) else (), found, strict=True):
+                        if len(f[4]) == 1:
+                            held[start + r].append((p, len(f[2].encode()), f[4][0]))
+                own = b.columns[: len(fields)]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([[{"at": a, "size": n, "fix": f} for a, n, f in x] for x in held], to_arrow_type(_FIXES))], names=[*kept, "__fixes"])
+                    continue
+                changed = [i for i, x in enumerate(held) if x]
+                texts, mask = b.column(at), np.zeros(b.num_rows, bool)
+                mask[changed] = True
+                done = [put(texts[i].as_py() if binary else texts[i].as_py().encode(), held[i]) for i in changed]
+                new = pa.array(done if binary else [x.decode() for x in done], texts.type)
+                yield pa.RecordBatch.from_arrays([*own, pc.replace_with_mask(texts, pa.array(mask), new), pa.array([len(x) for x in held], pa.int32())], names=[*kept, "fixed_text", "n_fixed"])
+
+        return run
+
+    out = rows
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        out = map_arrow(out, one(part, i == 0, last), StructType([*fields, *(ends if last else [StructField("__fixes", _FIXES)])]))
+    return out
 
 
 def unified_diff(before: Column, after: Column, old: Column, new: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import tokens as T
+from ..shipping import ship
 from ..sources import files as files_
 
 
@@ -34,7 +39,7 @@ def json_lines(found: DataFrame, path: str = "path") -> DataFrame:
 
 def parse_lines(rows: DataFrame, kind: str, path: str = "path", text: str = "text") -> DataFrame:
     """JSON lines of a text's identifiers or words, in order."""
-    tokens = T.identifiers(F.col(text))
+    tokens = scan.identifiers_column(F.col(text))
     if kind == "words":
         tokens = F.flatten(F.transform(tokens, T.words))
     one = rows.select(F.col(path).alias("path"), F.posexplode(tokens).alias("pos", "data"))
@@ -54,19 +59,33 @@ def highlight(text: Column, kind: str = "identifiers") -> Column:
     return F.concat(F.array_join(F.zip_with(gaps, shown, lambda g, t: F.concat(quiet(g), t)), ""), quiet(F.substr(text, used + 1)))
 
 
-def sarif(found: DataFrame, path: str = "path", text: str | None = None) -> DataFrame:
-    """One SARIF 2.1.0 document in a row. Columns count code points: ``prefix_chars`` must be in
-    ``found`` for that, else bytes are given. All results meet in one row: this is for reports of a size to be read."""
-    start = (F.col("prefix_chars") if "prefix_chars" in found.columns else F.col("line_byte_offset")) + 1
-    region = F.when(F.col("line_num").isNotNull(), F.struct(F.col("line_num").alias("startLine"), start.alias("startColumn"), (start + F.length("typo")).alias("endColumn")))
-    place = F.struct(F.struct(F.col(path).cast("string").alias("uri")).alias("artifactLocation"), region.alias("region"))
-    fixes = F.when((F.col("status") == "Corrections") & F.col("line_num").isNotNull(), F.transform("corrections", lambda c: F.struct(F.array(F.struct(F.struct(F.col(path).cast("string").alias("uri")).alias("artifactLocation"), F.array(F.struct(region.alias("deletedRegion"), F.struct(c.alias("text")).alias("insertedContent"))).alias("replacements"))).alias("artifactChanges"))))
-    result = F.struct(F.lit("typo").alias("ruleId"), F.lit("error").alias("level"), F.struct(message(F.col("typo"), F.col("status"), F.col("corrections")).alias("markdown"), message(F.col("typo"), F.col("status"), F.col("corrections")).alias("text")).alias("message"), F.array(F.struct(place.alias("physicalLocation"))).alias("locations"), fixes.alias("fixes"))
-    order = F.struct(F.col(path).alias("p"), F.col("byte_offset").alias("b"), result.alias("r"))
-    results = F.transform(F.array_sort(F.collect_list(order)), lambda x: x["r"])
-    rule = F.struct(F.lit("typo").alias("id"), F.struct(F.lit("Spelling error").alias("text")).alias("shortDescription"))
-    run = F.struct(F.struct(F.struct(F.lit("glyphwright").alias("name"), F.array(rule).alias("rules")).alias("driver")).alias("tool"), F.lit("unicodeCodePoints").alias("columnKind"), results.alias("results"))
-    return found.agg(run.alias("run")).select(F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array("run").alias("runs"))).alias("value"))
+def sarif_results(found: DataFrame, path: str = "path") -> DataFrame:
+    """(path, byte_offset, value): a SARIF result for each of the findings, which must have
+    prefix_chars. Columns count code points from 1; names have no region and no fixes."""
+    start = F.col("prefix_chars") + 1
+    inside = F.col("line_num").isNotNull()
+    region = F.when(inside, F.struct(F.col("line_num").alias("startLine"), F.col("line_num").alias("endLine"), start.alias("startColumn"), (start + F.length("typo")).alias("endColumn")))
+    where = F.struct(F.col(path).cast("string").alias("uri"))
+    said = F.struct(message(F.col("typo"), F.col("status"), F.col("corrections")).alias("markdown"))
+    swaps = F.transform("corrections", lambda c: F.struct(region.alias("deletedRegion"), F.struct(c.alias("text")).alias("insertedContent")))
+    fix = F.struct(said.alias("description"), F.array(F.struct(where.alias("artifactLocation"), swaps.alias("replacements"))).alias("artifactChanges"))
+    place = F.struct(F.struct(where.alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    result = F.struct(F.lit("error").alias("level"), said.alias("message"), F.array(place).alias("locations"), F.when(inside & (F.col("status") == "Corrections"), F.array(fix)).alias("fixes"))
+    return found.select(path, F.coalesce("line_num", F.lit(0)).alias("line_num"), "byte_offset", F.to_json(result).alias("value"))
+
+
+def sarif(found: DataFrame, errors: Sequence[str] = (), path: str = "path") -> Iterator[str]:
+    """The lines of one SARIF 2.1.0 document. Results come one partition after the other, in order of
+    path and place, so the document never has to be in one place."""
+    run = {"tool": {"driver": {"name": "glyphwright"}}, "columnKind": "unicodeCodePoints"}
+    if errors:
+        run["invocations"] = [{"executionSuccessful": False, "processStartFailureMessage": e} for e in errors]
+    yield '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [' + json.dumps(run)[:-1] + ', "results": ['
+    comma = ""
+    for r in sarif_results(found, path).orderBy(path, F.col("line_num") == 0, "byte_offset").toLocalIterator():
+        yield comma + r.value
+        comma = ","
+    yield "]}]}"
 
 
 def annotations(found: DataFrame, path: str = "path") -> DataFrame:
@@ -75,33 +94,33 @@ def annotations(found: DataFrame, path: str = "path") -> DataFrame:
     return found.select(F.concat(F.lit("::warning file="), F.col(path).cast("string"), F.lit(",line="), F.coalesce("line_num", F.lit(1)), F.lit(",col="), F.col("line_byte_offset") + 1, F.lit("::"), text).alias("value"))
 
 
-def long(found: DataFrame, texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """A snippet a finding: message, place, the line, and marks under the typo."""
-    joined = found.join(texts.select(F.col(path), F.col(text).alias("__t")), path)
-    line = T.line_text(F.col("__t"), F.col("byte_offset"))
-    before = F.length(F.substring_index(T.prefix(F.col("__t"), F.col("byte_offset")), "\n", -1))
-    number = F.col("line_num").cast("string")
+def long(found: DataFrame, path: str = "path") -> DataFrame:
+    """A snippet a finding: message, place, the line, and marks under the typo. The findings must have
+    line and prefix_chars."""
+    number, before = F.col("line_num").cast("string"), F.col("prefix_chars").cast("int")
     pad = F.rpad(F.lit(""), F.length(number), " ")
     head = F.concat(F.lit("error: "), message(F.col("typo"), F.col("status"), F.col("corrections")))
     where = F.concat(pad, F.lit(" ┌─ "), F.col(path).cast("string"), F.lit(":"), number, F.lit(":"), (before + 1).cast("string"))
-    return joined.select(path, "byte_offset", F.concat_ws("\n", head, where, F.concat(pad, F.lit(" │")), F.concat(number, F.lit(" │ "), line), F.concat(pad, F.lit(" │ "), F.rpad(F.lit(""), before, " "), F.rpad(F.lit(""), F.length("typo"), "^"))).alias("value"))
-
-
-def write_fixed(fixed: DataFrame, path: str = "path", content_type: str = "content_type") -> int:
-    """Write corrected texts back to their files, in the encoding that they had, from the tasks.
-    Returns how many were written. A text that has become empty isn't written to UTF-16 files."""
-
-    def write(rows):
-        n = 0
-        for r in rows:
-            if r[content_type].startswith("UTF_16") and not r["fixed_text"]:
-                continue
-            Path(r[path]).write_bytes(files_.encode(r["fixed_text"], r[content_type]))
-            n += 1
-        yield n
-
-    changed = fixed.where("n_fixed > 0").select(path, "fixed_text", content_type)
-    return sum(changed.rdd.mapPartitions(write).collect())
+    return found.select(path, "byte_offset", F.concat_ws("\n", head, where, F.concat(pad, F.lit(" │")), F.concat(number, F.lit(" │ "), F.col("line")), F.concat(pad, F.lit(" │ "), F.rpad(F.lit(""), before, " "), F.rpad(F.lit(""), F.length("typo"), "^"))).alias("value"))
+
+
+def write_fixed(fixed: DataFrame, path: str = "path", content_type: str = "content_type", text: str = "fixed_text") -> int:
+    """Write corrected content (bytes) back to its files, in the encoding that they had, from the
+    tasks. Returns how many were written. A text that has become empty isn't written to UTF-16 files."""
+    ship(fixed.sparkSession)
+
+    def write(batches):
+        for b in batches:
+            n = 0
+            for where, data, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind.startswith("UTF_16") and not data:
+                    continue
+                Path(where).write_bytes(files_.encode(data.decode(), kind) if kind.startswith("UTF_16") else data)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32())], names=["n"])
+
+    changed = fixed.where("n_fixed > 0").select(path, F.col(text).cast("binary").alias("data"), content_type)
+    return changed.mapInArrow(write, "n int").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def renames(found: DataFrame, path: str = "path") -> DataFrame:

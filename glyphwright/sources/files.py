@@ -12,8 +12,8 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filetypes import glob_regex
@@ -85,6 +85,21 @@ def _ignore_files(folder: Path, walk: Walk) -> list[Rule]:
     return out
 
 
+def global_ignore_file() -> Path | None:
+    """The file of git's user-wide ignore rules: core.excludesFile, else the usual place."""
+    home = Path(os.path.expanduser("~"))
+    base = Path(os.environ.get("XDG_CONFIG_HOME") or home / ".config")
+    for p in (home / ".gitconfig", base / "git" / "config"):
+        if p.is_file():
+            section = ""
+            for line in p.read_text(errors="replace").splitlines():
+                if found := re.match(r"\s*\[([^\]]*)\]", line):
+                    section = found[1].strip().lower()
+                elif section == "core" and (found := re.match(r"\s*excludesfile\s*=\s*\"?([^\"]+?)\"?\s*$", line, re.IGNORECASE)):
+                    return Path(os.path.expanduser(found[1]))
+    return base / "git" / "ignore"
+
+
 def walk(root: str, config: Walk | None = None, force_exclude: bool = False) -> Iterator[tuple[str, bool]]:
     """(path, explicit) of the files at or under ``root``, in order of name. A file that is named
     itself is explicit and only left out by ``force_exclude``."""
@@ -97,6 +112,8 @@ def walk(root: str, config: Walk | None = None, force_exclude: bool = False) ->
         return
     stack: list[tuple[Path, list[tuple[Path, list[Rule]]]]] = []
     inherited = []
+    if config.on("global") and (p := global_ignore_file()) is not None and p.is_file():
+        inherited.append((top.resolve(), rules(p.read_text(errors="replace").splitlines())))
     if config.on("parent"):
         for p in reversed(top.resolve().parents):
             if found := _ignore_files(p, config):
@@ -152,26 +169,16 @@ def content_type(data: bytes) -> str:
     return "UTF_8"
 
 
-def decode(data: bytes) -> tuple[str, str | None, str | None]:
-    """(content type, text or None, error). UTF-16 loses its mark; UTF-32 counts as binary."""
+def decode(data: bytes) -> tuple[bytes, str, str | None]:
+    """(content to be checked, content type, error). UTF-16 becomes UTF-8 without its mark; UTF-32
+    counts as binary."""
     kind = content_type(data)
     if kind in ("UTF_16LE", "UTF_16BE"):
         try:
-            return kind, data[2:].decode(kind.replace("_", "-").lower()), None
+            return data[2:].decode(kind.replace("_", "-").lower()).encode(), kind, None
         except UnicodeDecodeError as e:
-            return kind, data[2:].decode(kind.replace("_", "-").lower(), "replace"), str(e)
-    if kind.startswith("UTF_32"):
-        return "BINARY", None, None
-    if kind == "BINARY":
-        return kind, None, None
-    return kind, _valid(data), None
-
-
-def _valid(data: bytes) -> str | None:
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+            return data[2:].decode(kind.replace("_", "-").lower(), "replace").encode("utf-8", "replace"), kind, str(e)
+    return data, "BINARY" if kind.startswith("UTF_32") else kind, None
 
 
 def encode(text: str, kind: str) -> bytes:
@@ -182,59 +189,52 @@ def encode(text: str, kind: str) -> bytes:
     return text.encode("utf-8")
 
 
-def utf8_chunks(data: bytes) -> list[tuple[int, str]]:
-    """(first byte, text) of the valid pieces between invalid sequences; an unfinished end is dropped."""
-    out, at = [], 0
-    while at < len(data):
-        try:
-            out.append((at, data[at:].decode("utf-8")))
-            break
-        except UnicodeDecodeError as e:
-            if e.start:
-                out.append((at, data[at : at + e.start].decode("utf-8")))
-            if e.reason == "unexpected end of data":
-                break
-            at += e.end
-    return out
-
-
-SCHEMA = "path string, explicit boolean, content binary, content_type string, text string, error string"
+SCHEMA = "path string, explicit boolean, content binary, content_type string, error string"
+#: Bytes that tell whether a file is binary.
+HEAD = 1024
 
 
-def read(spark: SparkSession, paths: Iterable[tuple[str, bool]], batch: int = 256, tool: str = TOOL) -> DataFrame:
-    """The files as rows of SCHEMA; text is null if the content is binary or not UTF-8 throughout. What can't be
-    read has an error and no content. Configuration files are left out."""
+def read(spark: SparkSession, paths: Iterable[tuple[str, bool]], batch: int = 256, tool: str = TOOL, head: bool = False) -> DataFrame:
+    """The files as rows of SCHEMA, in tasks of ``batch`` files; content is as it is to be checked, UTF-16
+    in UTF-8. What can't be read has an error and no content. Configuration files are left out.
+    ``head``: content is no more than what tells its type."""
     ship(spark)
     rows = [(p, bool(e)) for p, e in paths if Path(p).name not in file_names(tool)]
     listed = spark.createDataFrame(rows, "path string, explicit boolean")
     listed = listed.repartition(max(1, -(-len(rows) // batch)))
 
     def load(batches):
-        for pdf in batches:
-            out = []
-            for path, explicit in zip(pdf.path, pdf.explicit, strict=True):
+        for b in batches:
+            out, held = [], 0
+            for path, explicit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
-                    data = Path(path).read_bytes()
-                    out.append((path, explicit, data, *decode(data)))
+                    with open(path, "rb") as f:
+                        data = f.read(HEAD) if head else f.read()
+                    out.append((path, explicit, *((data, content_type(data), None) if head else decode(data))))
                 except OSError as e:
-                    out.append((path, explicit, b"", "UTF_8", "", str(e)))
-            yield pd.DataFrame(out, columns=["path", "explicit", "content", "content_type", "text", "error"])
+                    out.append((path, explicit, b"", "UTF_8", str(e)))
+                held += len(out[-1][2])
+                if held > OUT_BYTES:
+                    yield _batch(out)
+                    out, held = [], 0
+            if out:
+                yield _batch(out)
+
+    return listed.mapInArrow(load, SCHEMA)
+
 
-    return listed.mapInPandas(load, SCHEMA)
+#: Bytes of content that a task hands on at a time.
+OUT_BYTES = 16 << 20
 
 
-def chunks(files: DataFrame) -> DataFrame:
-    """(path, base, text): valid text whole, other content in its valid pieces with their first byte."""
-    ship(files.sparkSession)
+def _batch(rows) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.bool_(), pa.binary(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "explicit", "content", "content_type", "error"])
 
-    @F.pandas_udf("array<struct<base: bigint, text: string>>")
-    def pieces(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: [{"base": b, "text": t} for b, t in utf8_chunks(bytes(c))])
 
-    textual = files.where("content_type <> 'BINARY'")
-    whole = textual.where("text is not null").select("path", F.lit(0).cast("bigint").alias("base"), "text")
-    broken = textual.where("text is null").select("path", F.explode(pieces("content")).alias("p")).select("path", "p.base", "p.text")
-    return whole.unionByName(broken)
+def text_of(content: Column) -> Column:
+    """Content as text, null unless it's UTF-8 throughout."""
+    return F.try_validate_utf8(content.cast("string"))
 
 
 def checkable(files: DataFrame, binary: bool = False) -> DataFrame:

@@ -63,12 +63,59 @@ def test_splice(spark):
 def test_fix_and_diff(spark):
     lex = check.lexicon(spark, words={"teh": "the", "ñame": "name"})
     rows = spark.createDataFrame([("a", "É teh\nok\nÑame Teh!"), ("b", "fine"), ("c", None)], "path string, text string")
-    fixed = fix.fix_text(rows, lex, "path")
+    fixed = fix.fix_text(rows, lex)
     assert {r.path: (r.fixed_text, r.n_fixed) for r in fixed.collect()} == {"a": ("É the\nok\nName The!", 3), "b": ("fine", 0), "c": (None, 0)}
     diff = fix.diff_rows(fixed, "path").collect()
     assert len(diff) == 1 and "-É teh\n+É the\n" in diff[0].diff and " ok" not in diff[0].diff
 
 
+def test_fix_by_row(spark):
+    """Keys that are null or repeated don't matter, nor do columns of the names that are made."""
+    lex = check.lexicon(spark, words={"teh": "the", "aa": "bbb"})
+    texts = ["teh aa bb", "aa bb teh cc", "teh", "teh", None, ""]
+    rows = spark.createDataFrame([(1, texts[0], "x", 9), (1, texts[1], "x", 9), (None, texts[2], "x", 9), (None, texts[3], "x", 9), (2, texts[4], "x", 9), (2, texts[5], "x", 9)], "id int, text string, fixed_text string, `a.b` int")
+    fixed = fix.fix_text(rows, lex)
+    assert fixed.columns == ["id", "text", "a.b", "fixed_text", "n_fixed"]
+    got = sorted(((r.text, r.fixed_text, r.n_fixed) for r in fixed.collect()), key=str)
+    assert got == sorted([("teh aa bb", "the bbb bb", 2), ("aa bb teh cc", "bbb bb the cc", 2), ("teh", "the", 1), ("teh", "the", 1), (None, None, 0), ("", "", 0)], key=str)
+    assert "Exchange" not in fixed._jdf.queryExecution().executedPlan().toString()
+    assert fix.fix_text(rows.limit(0), lex).count() == 0
+
+
+def test_lexicon_in_parts(spark, monkeypatch):
+    """A lexicon that is too large to be broadcast at once gives the same findings."""
+    dictionary = spark.createDataFrame([("teh", ["the"]), ("hte", ["the", "hate"]), ("bad", []), ("ñame", ["name"])], "key string, corrections array<string>")
+    rows = spark.createDataFrame([(1, "teh bad Hte tehBad ñame"), (2, "ok"), (3, None), (4, "Bad\nteh teh")], "id int, text string")
+
+    def see():
+        lex = check.lexicon(spark, dictionary, words={"xx": "yy"}, identifiers={"tehBad": "good"})
+        found = check.findings(rows, lex, keep=["id"], placed=True).collect()
+        fixed = fix.fix_text(rows, lex).collect()
+        return len(lex.parts(spark)), sorted(map(str, found)), sorted(map(str, fixed))
+
+    whole = see()
+    monkeypatch.setattr(check, "BROADCAST_BYTES", 500)
+    parts = see()
+    assert whole[0] == 1 and parts[0] > 2 and whole[1:] == parts[1:] and len(whole[1]) == 8
+
+
+def test_bytes(spark):
+    """Content that isn't UTF-8 throughout is read in its valid pieces; places are those of the whole."""
+    lex = check.lexicon(spark, words={"teh": "the"})
+    rows = spark.createDataFrame([(1, bytearray(b"caf\xe9 teh\n\xffteh")), (2, bytearray("é teh".encode())), (3, bytearray(b"teh\xe2\x82")), (4, bytearray(b"me\xff@x.y teh"))], "id int, content binary")
+    found = {(r.id, r.byte_offset, r.line_num, r.line_byte_offset, r.line, r.prefix_chars) for r in check.findings(rows, lex, "content", ["id"], placed=True).collect()}
+    assert found == {(1, 5, 1, 5, "caf\ufffd teh", 5), (1, 10, 2, 1, "\ufffdteh", 1), (2, 3, 1, 3, "é teh", 2), (3, 0, 1, 0, "teh\ufffd", 0), (4, 8, 1, 8, "me\ufffd@x.y teh", 8)}
+    fixed = {r.id: bytes(r.fixed_text) for r in fix.fix_text(rows, lex, "content").collect()}
+    assert fixed == {1: b"caf\xe9 the\n\xffthe", 2: "é the".encode(), 3: b"the\xe2\x82", 4: b"me\xff@x.y the"}
+
+
+def test_without_unicode(spark):
+    lex = check.lexicon(spark, words={"teh": "the"})
+    rows = spark.createDataFrame([(1, "teh plain"), (2, "teh א teh"), (3, "teh café teh"), (4, None)], "id int, text string")
+    got = sorted((r.id, r.byte_offset) for r in check.findings(rows, lex, keep=["id"], unicode=False).collect())
+    assert got == [(1, 0), (2, 0), (2, 7), (3, 0)]  # of é only the first byte is like a letter, which cuts it
+
+
 def test_dialects(spark):
     rows = registry._clusters(spark)
     assert {(r.header, r.verified, r.level) for r in rows.collect()} == {("color", True, 10), ("realize", True, 10), ("gray", False, 20), ("center", True, 10)}
@@ -120,14 +167,21 @@ def test_reports(spark):
 
     lex = check.lexicon(spark, words={"teh": "the", "bad": ""})
     rows = spark.createDataFrame([("p", "ok\né teh bad")], "path string, text string")
-    found = check.findings(rows, lex, keep=["path"]).cache()
+    found = check.findings(rows, lex, keep=["path"], placed=True).cache()
     assert sorted(r.value for r in sinks.brief(found).collect()) == ["p:2:4: `teh` should be `the`", "p:2:8: `bad` is disallowed"]
     lines = sorted((json.loads(r.value) for r in sinks.json_lines(found).collect()), key=lambda x: x["byte_offset"])
     assert lines[0] == {"type": "typo", "path": "p", "line_num": 2, "byte_offset": 3, "typo": "teh", "corrections": ["the"]} and lines[1]["corrections"] is None
-    report = json.loads(sinks.sarif(found).first().value)
-    assert [r["message"]["text"] for r in report["runs"][0]["results"]] == ["`teh` should be `the`", "`bad` is disallowed"]
+    report = json.loads("".join(sinks.sarif(found, ["no such file"])))["runs"][0]
+    region = {"startLine": 2, "endLine": 2, "startColumn": 3, "endColumn": 6}  # columns count code points
+    first, second = report["results"]
+    assert first["message"]["markdown"] == "`teh` should be `the`" and first["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "p"}, "region": region}
+    assert first["fixes"][0]["artifactChanges"][0]["replacements"] == [{"deletedRegion": region, "insertedContent": {"text": "the"}}] and first["fixes"][0]["description"] == first["message"]
+    assert "fixes" not in second and second["message"]["markdown"] == "`bad` is disallowed" and second["level"] == "error"
+    assert report["columnKind"] == "unicodeCodePoints" and report["invocations"] == [{"executionSuccessful": False, "processStartFailureMessage": "no such file"}]
+    named = sinks.sarif(found.withColumn("line_num", F.lit(None).cast("long")))
+    assert all("region" not in r["locations"][0]["physicalLocation"] and "fixes" not in r for r in json.loads("".join(named))["runs"][0]["results"])
     assert sinks.annotations(found).where("value like '::warning file=p,line=2,col=4::%'").count() == 1
-    assert any("é teh bad" in r.value and "^^^" in r.value for r in sinks.long(found, rows).collect())
+    assert any("é teh bad" in r.value and "^^^" in r.value for r in sinks.long(found).collect())
     shown = rows.select(sinks.highlight(F.col("text")).alias("a"), sinks.highlight(F.col("text"), "words").alias("b")).first()
     import re
 

@@ -35,31 +35,42 @@ def test_explicit_files(tmp_path):
     assert files.excluded(files.rules(["*", "!checked/**"]), "other/file.txt") is True
 
 
+def test_git_ignore_of_the_user(tmp_path, monkeypatch):
+    _tree(tmp_path, {"tree/a.txt": "", "tree/b.log": "", "tree/c.tmp": "", "config/git/ignore": "*.log\n", "own": "*.tmp\n"})
+    monkeypatch.setenv("HOME", str(tmp_path))
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    assert _walk(tmp_path / "tree") == ["a.txt", "c.tmp"]
+    (tmp_path / ".gitconfig").write_text("[user]\nname = x\n[core]\n\texcludesFile = ~/own\n")
+    assert _walk(tmp_path / "tree") == ["a.txt", "b.log"] and len(_walk(tmp_path / "tree", ignore_vcs=False)) == 3
+    assert len(_walk(tmp_path / "tree", ignore_global=False)) == 3
+
+
 def test_decoding():
-    assert files.decode(codecs.BOM_UTF16_LE + "né".encode("utf-16-le")) == ("UTF_16LE", "né", None)
-    assert files.decode(b"a\0b")[:2] == ("BINARY", None)
-    assert files.decode(codecs.BOM_UTF32_LE + b"x\0\0\0")[0] == "BINARY"
+    assert files.decode(codecs.BOM_UTF16_LE + "né".encode("utf-16-le")) == ("né".encode(), "UTF_16LE", None)
+    assert files.decode(b"a\0b") == (b"a\0b", "BINARY", None)
+    assert files.decode(codecs.BOM_UTF32_LE + b"x\0\0\0")[1] == "BINARY"
+    assert files.decode(codecs.BOM_UTF16_LE + b"x\0y")[2]
     assert files.encode("né", "UTF_16BE") == codecs.BOM_UTF16_BE + "né".encode("utf-16-be")
-    assert files.utf8_chunks(b"assur\xe9ment \xc3") == [(0, "assur"), (6, "ment ")]
-    assert files.utf8_chunks(b"") == []
 
 
 def test_read_check_and_write(spark, tmp_path):
     _tree(tmp_path, {"a.txt": "teh end", "glyphwright.toml": "", "sub/b.txt": "fine"})
     (tmp_path / "c.txt").write_bytes(codecs.BOM_UTF16_LE + "teh".encode("utf-16-le"))
-    (tmp_path / "d.bin").write_bytes(b"\0teh")
+    (tmp_path / "d.bin").write_bytes(b"\0 teh")
     (tmp_path / "e.txt").write_bytes(b"x\xe9 teh")
-    rows = files.checkable(files.read(spark, files.walk(str(tmp_path))))
+    read = files.read(spark, files.walk(str(tmp_path)))
+    rows = files.checkable(read)
     lex = check.lexicon(spark, words={"teh": "the"})
-    found = check.findings(rows, lex, keep=["path"])
-    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["a.txt", "c.txt"]
-    pieces = files.chunks(rows)
-    assert sorted((r.path.rsplit("/", 1)[1], r.base + r.byte_offset) for r in check.findings(pieces, lex, keep=["path", "base"]).collect()) == [("a.txt", 0), ("c.txt", 0), ("e.txt", 3)]
-    assert sinks.write_fixed(fix.fix_text(rows.where("text is not null"), lex, "path")) == 2
-    assert (tmp_path / "a.txt").read_text() == "the end"
+    see = lambda df: sorted((r.path.rsplit("/", 1)[1], r.byte_offset) for r in check.findings(df, lex, "content", ["path"]).collect())
+    assert see(rows) == [("a.txt", 0), ("c.txt", 0), ("e.txt", 3)]
+    assert see(files.checkable(read, binary=True)) == [("a.txt", 0), ("c.txt", 0), ("d.bin", 2), ("e.txt", 3)]
+    assert sinks.write_fixed(fix.fix_text(rows, lex, "content")) == 3
+    assert (tmp_path / "a.txt").read_text() == "the end" and (tmp_path / "e.txt").read_bytes() == b"x\xe9 the" and (tmp_path / "d.bin").read_bytes() == b"\0 teh"
     assert (tmp_path / "c.txt").read_bytes() == codecs.BOM_UTF16_LE + "the".encode("utf-16-le")
     missing = files.read(spark, [(str(tmp_path / "none"), True)]).first()
     assert missing.error and missing.content == b""
+    (tmp_path / "long.txt").write_text("x" * 5000)
+    assert len(files.read(spark, [(str(tmp_path / "long.txt"), True)], head=True).first().content) == files.HEAD
 
 
 def test_config_merging():
