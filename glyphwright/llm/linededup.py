@@ -8,6 +8,11 @@ New keys enter the filters. A line is removed if its key was in the store, or oc
 same batch, by doc_id and line number. Deleting documents takes their postings out, counts the
 references down, and removes from the filters the keys that nobody has any more, so the store is as if
 they had never come; a removed line whose keeper has gone comes back in the next document that had it.
+A filter that can't take its new keys is built anew from the exact table, which is read for such shards
+alone. As keys grow in number so do the shards.
+
+Deduplicating a table is a sequence of insertions, ``EPOCHS`` by ranges of doc_id, each of which asks
+the filters that those before have left; the result is that of a single pass in order of doc_id.
 
 Each task folds the repeats it sees in one Arrow batch before anything is shuffled, so a line that
 every document shares costs one row a batch. Texts aren't shuffled while the lists of removed lines
@@ -24,7 +29,7 @@ but for one of the name asked for the count, which is replaced.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +42,12 @@ from ..shipping import map_arrow
 from . import _scale
 from .cuckoo import CuckooFilter
 
-KEYS_PER_SHARD = 1_000_000
+KEYS_PER_SHARD, EPOCHS = 1_000_000, 2
 BLANK = " \t\r"
 _NO_ID = (1 << 63) - 1
 _LINES = "hi bigint, lo bigint, d bigint, h bigint, line int, first boolean"
 _FILTERS = "shard int, filter binary"
+_KEYS = "hi bigint, lo bigint"
 
 
 def _lines(batches):
@@ -79,21 +85,41 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.where("text <> ''").select(d.alias("d"), h.alias("h"), "text"), _lines, _LINES)
 
 
+def _shards(keys: int) -> int:
+    return 1 << max(4, math.ceil(math.log2(max(1, keys) / KEYS_PER_SHARD)))
+
+
+def _shard(n: int):
+    return F.col("hi").bitwiseAND(F.lit(n - 1)).cast("int")
+
+
 @dataclass
 class Store:
-    """postings: (shard, hi, lo, epoch, d, h, line); refs: (shard, hi, lo, refs); filters."""
+    """postings: (shard, hi, lo, epoch, d, h, line); refs: (shard, hi, lo, refs); filters; keys: their number."""
 
     shards: int
     epoch: int
     postings: DataFrame
     refs: DataFrame
     filters: DataFrame
+    keys: int = 0
 
     @staticmethod
-    def empty(spark: SparkSession, keys: int) -> Store:
-        shards = 1 << max(4, math.ceil(math.log2(max(1, keys) / KEYS_PER_SHARD)))
+    def empty(spark: SparkSession) -> Store:
         e = spark.createDataFrame
-        return Store(shards, 0, e([], "shard int, hi bigint, lo bigint, epoch int, d bigint, h bigint, line int"), e([], "shard int, hi bigint, lo bigint, refs bigint"), e([], _FILTERS))
+        return Store(_shards(0), 0, e([], "shard int, hi bigint, lo bigint, epoch int, d bigint, h bigint, line int"), e([], "shard int, hi bigint, lo bigint, refs bigint"), e([], _FILTERS))
+
+    def grown(self, keys: int) -> Store:
+        """With as many shards as so many keys need. Shards double, so all that is done for it over the
+        life of a store is in proportion to its keys."""
+        n = _shards(keys)
+        if n <= self.shards:
+            return self
+        postings, refs = (x.withColumn("shard", _shard(n)) for x in (self.postings, self.refs))
+        if not self.keys:
+            return replace(self, shards=n, postings=postings, refs=refs)
+        filters = _by_shard(refs.select("shard", "hi", "lo"), self.filters.limit(0), ["hi", "lo"], _build, _FILTERS)
+        return replace(self, shards=n, postings=postings, refs=refs, filters=_scale.stored(filters, "filters"))
 
 
 def _by_shard(rows: DataFrame, filters: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
@@ -139,14 +165,19 @@ def _probe(shard, kept, columns):
 
 
 def _grow(shard, kept, columns):
-    """columns: keys, and whether they are new; the old ones are there in case the filter is too small."""
-    hi, lo, new = columns
-    keys, new = _keys(hi, lo), new.astype(bool)
-    if kept is None or not kept.insert(keys[new]):
+    """With new keys; without a filter if they don't all go in."""
+    keys = _keys(*columns)
+    if kept is None:
         kept = CuckooFilter.of(keys)
+    elif len(keys) and not kept.insert(keys):
+        kept = None
     yield _filter_row(shard, kept)
 
 
+def _build(shard, kept, columns):
+    yield _filter_row(shard, CuckooFilter.of(_keys(*columns)))
+
+
 def _shrink(shard, kept, columns):
     if kept is None:
         return
@@ -156,39 +187,48 @@ def _shrink(shard, kept, columns):
 
 
 def _filter_row(shard, kept):
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kept.to_bytes()], pa.binary())], names=["shard", "filter"])
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None if kept is None else kept.to_bytes()], pa.binary())], names=["shard", "filter"])
 
 
 def insert(docs: DataFrame, store: Store | None = None) -> tuple[Store, DataFrame]:
     """(the store with these documents, the removed lines: (d, h, lines array<int>))."""
-    spark = docs.sparkSession
-    found = _scale.stored(occurrences(docs), "lines")
-    fresh = store is None
-    if fresh:
-        store = Store.empty(spark, found.count())
-    found = found.withColumn("shard", F.col("hi").bitwiseAND(F.lit(store.shards - 1)).cast("int"))
+    return insert_lines(_scale.stored(occurrences(docs), "lines"), store)
+
+
+def insert_lines(found: DataFrame, store: Store | None = None) -> tuple[Store, DataFrame]:
+    """:func:`insert` of documents whose :func:`occurrences` these are, as a table."""
+    spark = found.sparkSession
+    store = store or Store.empty(spark)
+    store = store.grown(store.keys + found.where("first").count())
+    found = found.withColumn("shard", _shard(store.shards))
     n = _scale.partitions(spark)
     order = W.partitionBy("shard", "hi", "lo").orderBy("d", "h", "line")
     ranked = found.where("first").repartition(n, "shard").withColumn("rank", F.dense_rank().over(order)).withColumn("once", F.row_number().over(order) == 1)
     ranked = _scale.stored(ranked.drop("first"), "ranked")
     keys = ranked.where("once").select("shard", "hi", "lo")
-    if fresh:
-        ranked = ranked.withColumn("known", F.lit(False))
-        filters = _by_shard(keys.withColumn("new", F.lit(True)), store.filters, ["hi", "lo", "new"], _grow, _FILTERS)
-    else:
-        maybe = _by_shard(keys, store.filters, ["hi", "lo"], _probe, "hi bigint, lo bigint")
+    if store.keys:
+        maybe = _by_shard(keys, store.filters, ["hi", "lo"], _probe, _KEYS)
         known = _scale.stored(maybe.join(store.refs.select("hi", "lo"), ["hi", "lo"], "left_semi").withColumn("known", F.lit(True)), "known")
+        if _scale.small_enough(known.count(), 60):
+            known = F.broadcast(known)
         ranked = ranked.join(known, ["hi", "lo"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        new = keys.join(known, ["hi", "lo"], "left_anti").withColumn("new", F.lit(True))
-        # The exact keys go along: a filter that has become too small is built anew from them.
-        filters = _by_shard(new.unionByName(store.refs.select("shard", "hi", "lo").withColumn("new", F.lit(False))), store.filters, ["hi", "lo", "new"], _grow, _FILTERS)
-    gone = ranked.where("rank > 1 or known").select("d", "h", "line").unionByName(found.where("not first").select("d", "h", "line"))
-    removed = gone.groupBy("d", "h").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+        keys = keys.join(known, ["hi", "lo"], "left_anti")
+    else:
+        ranked = ranked.withColumn("known", F.lit(False))
+    filters = _scale.stored(_by_shard(keys, store.filters, ["hi", "lo"], _grow, _FILTERS), "filters")
+    full = [r.shard for r in filters.where("filter is null").select("shard").collect()]  # numbers of shards, as many as there are at most
     mine = found.select("shard", "hi", "lo", F.lit(store.epoch).alias("epoch"), "d", "h", "line").distinct()
     refs = mine.groupBy("shard", "hi", "lo").agg(F.count("*").alias("refs"))
-    if not fresh:
+    if store.keys:
         refs = refs.unionByName(store.refs).groupBy("shard", "hi", "lo").agg(F.sum("refs").alias("refs"))
-    after = Store(store.shards, store.epoch + 1, store.postings.unionByName(mine), _scale.stored(refs, "refs"), _scale.stored(filters, "filters"))
+    refs = _scale.stored(refs, "refs")
+    if full:
+        again = refs.join(F.broadcast(spark.createDataFrame([(x,) for x in full], "shard int")), "shard", "left_semi")
+        again = _by_shard(again.select("shard", "hi", "lo"), store.filters.limit(0), ["hi", "lo"], _build, _FILTERS)
+        filters = _scale.stored(filters.where("filter is not null").unionByName(again), "filters")
+    gone = ranked.where("rank > 1 or known").select("d", "h", "line").unionByName(found.where("not first").select("d", "h", "line"))
+    removed = gone.groupBy("d", "h").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    after = Store(store.shards, store.epoch + 1, store.postings.unionByName(mine), refs, filters, refs.count())
     return after, _scale.stored(removed, "removed")
 
 
@@ -207,7 +247,8 @@ def delete(store: Store, doc_ids: DataFrame) -> tuple[Store, DataFrame]:
     before = touched.groupBy("hi", "lo").agg(F.min(place).alias("keeper"))
     now = touched.join(ids, "d", "left_anti").groupBy("hi", "lo").agg(F.min(place).alias("next"))
     back = now.join(before, ["hi", "lo"]).where("next <> keeper").select("next.d", "next.h", "next.line")
-    after = Store(store.shards, store.epoch, postings, counted.where("refs > 0"), _scale.stored(filters, "filters"))
+    left = counted.where("refs > 0")
+    after = Store(store.shards, store.epoch, postings, left, _scale.stored(filters, "filters"), left.count())
     return after, _scale.stored(back, "back")
 
 
@@ -216,7 +257,7 @@ def apply(docs: DataFrame, removed: DataFrame, count: str | None = None) -> Data
     columns as they were, and ``count``, if named, the number of lines removed."""
     d, h = _identity(docs)
     few = removed.select(F.col("d").alias("__gw_d"), F.col("h").alias("__gw_h"), F.col("lines").alias("__gw_lines"))
-    if _scale.small_enough(removed.count(), 120):
+    if (removed.agg(F.sum(F.lit(64) + 4 * F.size("lines").cast("bigint"))).first()[0] or 0) <= _scale.BROADCAST_BYTES:
         few = F.broadcast(few)
     joined = docs.join(few, (d == F.col("__gw_d")) & (h == F.col("__gw_h")), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains("__gw_lines", i.cast("int"))), "\n")
@@ -226,9 +267,32 @@ def apply(docs: DataFrame, removed: DataFrame, count: str | None = None) -> Data
     return joined.where(F.col("__gw_lines").isNull() | (F.translate(left, BLANK + "\n", "") != "")).select(*columns, *extra)
 
 
-def dedup(docs: DataFrame, count: str | None = None) -> DataFrame:
-    """One batch into an empty store, applied."""
-    return apply(docs, insert(docs)[1], count)
+def dedup(docs: DataFrame, count: str | None = None, epochs: int = EPOCHS) -> DataFrame:
+    """``docs`` inserted into an empty store in ``epochs`` batches by doc_id, and what they removed
+    applied."""
+    found = _scale.stored(occurrences(docs), "lines")
+    cuts = found.agg(F.percentile_approx("d", F.array(*[F.lit(i / epochs) for i in range(1, epochs)])).alias("c")).first().c if epochs > 1 else None
+    store, removed = None, None
+    bounds = [None, *sorted(set(cuts or [])), None]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        batch = found if low is None else found.where(F.col("d") > low)
+        batch = batch if high is None else batch.where(F.col("d") <= high)
+        store, gone = insert_lines(batch, store)
+        removed = gone if removed is None else removed.unionByName(gone)
+    return apply(docs, removed, count)
+
+
+def reversible(docs: DataFrame, later, deleted) -> DataFrame:
+    """(event, doc_id, line) of a life of the store: documents come, those for which ``later`` holds in
+    a second insertion, and those for which ``deleted`` holds go again. event: removed by an insertion
+    (if its lines aren't the first of their kind), or back after the deletion. For doc_ids that aren't
+    null."""
+    docs = docs.where("doc_id is not null")
+    store, first = insert(docs.where(~later))
+    store, second = insert(docs.where(later), store)
+    store, back = delete(store, docs.where(deleted).select("doc_id"))
+    removed = first.unionByName(second).select(F.lit("removed").alias("event"), F.col("d").alias("doc_id"), F.explode("lines").alias("line"))
+    return removed.unionByName(back.select(F.lit("back").alias("event"), F.col("d").alias("doc_id"), "line"))
 
 
 SQL = r"""
@@ -243,3 +307,15 @@ FROM r GROUP BY doc_id
 HAVING count(*) FILTER (WHERE dup) = 0 OR count(*) FILTER (WHERE NOT dup AND k <> '') > 0
 UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL
 """
+
+#: Of documents by odd and even doc_id, those that 5 divides deleted.
+REVERSIBLE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, doc_id % 2 AS epoch, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+  FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY epoch, doc_id, i) AS place FROM k WHERE k <> ''),
+b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) AS again FROM p WHERE doc_id % 5 <> 0)
+SELECT 'removed' AS event, doc_id, CAST(i AS INTEGER) AS line FROM p WHERE place > 1
+UNION ALL SELECT 'back', doc_id, CAST(i AS INTEGER) FROM b WHERE again = 1 AND place > 1
+"""
