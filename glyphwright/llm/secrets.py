@@ -4,7 +4,9 @@ Every version of every path is named by the SHA-256 of its content. A ledger hol
 the rules (with their versions) that have already seen it, and the findings. A scan works out which
 blobs are new to which rules, runs just those pairs, once for each blob however many paths have it,
 adds to the ledger, and joins the findings back to all paths. A second scan of the same content runs
-nothing; a new version of one rule runs that rule alone.
+nothing; a new version of one rule runs that rule alone. A scan appends to the ledger what is new and
+leaves the rest as it is; a blob may have several entries, whose rules add up. A ledger in a folder is a
+series of such additions, which are folded into one when there are ``FOLD`` of them.
 
 Which rows to read text of is settled on ids and hashes. If those to leave out are few they are
 broadcast, and no text is shuffled; likewise if those to scan are few; otherwise texts are joined by
@@ -19,6 +21,7 @@ SHA-256 and length. Other columns are never read.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,20 +65,29 @@ RULES = (
 _SCANNED, _FINDINGS = "blob binary, rules array<string>", "blob binary, rule string, version int, nth int, n_chars int, secret_sha256 string"
 
 
+#: Additions to a ledger from which on they are folded.
+FOLD = 16
+
+
 @dataclass
 class Ledger:
-    """(blob, rules) that have been scanned, and the findings by blob."""
+    """(blob, rules) that have been scanned, and the findings by blob; ``new``: what the last scan added."""
 
     scanned: DataFrame
     findings: DataFrame
+    new: Ledger | None = None
 
     @staticmethod
     def empty(spark: SparkSession) -> Ledger:
         return Ledger(spark.createDataFrame([], _SCANNED), spark.createDataFrame([], _FINDINGS))
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Ledger:
-        return Ledger(spark.read.schema(_SCANNED).parquet(f"{path}/scanned"), spark.read.schema(_FINDINGS).parquet(f"{path}/findings"))
+    def load(spark: SparkSession, *paths: str) -> Ledger:
+        return Ledger(spark.read.schema(_SCANNED).parquet(*[f"{p}/scanned" for p in paths]), spark.read.schema(_FINDINGS).parquet(*[f"{p}/findings" for p in paths]))
+
+    def folded(self) -> Ledger:
+        """With one entry for each blob."""
+        return Ledger(self.scanned.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules")), self.findings)
 
     def save(self, path: str) -> None:
         self.scanned.write.parquet(f"{path}/scanned")
@@ -118,7 +130,8 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules=RULES) -> tuple[Le
         ledger = Ledger.empty(spark)
         todo = blobs.withColumn("todo", keys)
     else:
-        todo = blobs.join(ledger.scanned, "blob", "left").select("blob", "doc_id", F.array_except(keys, F.coalesce("rules", F.expr("cast(array() as array<string>)"))).alias("todo"))
+        seen = Ledger(ledger.scanned.join(blobs.select("blob"), "blob", "left_semi"), ledger.findings).folded().scanned
+        todo = blobs.join(seen, "blob", "left").select("blob", "doc_id", F.array_except(keys, F.coalesce("rules", F.expr("cast(array() as array<string>)"))).alias("todo"))
     todo = _scale.stored(todo.where(F.size("todo") > 0), "todo")
     n = todo.agg(F.count("*"), F.coalesce(F.bool_and(F.size("todo") == len(rules)), F.lit(True))).first()
     same = lambda a, b: a["blob"].eqNullSafe(b["blob"]) & a["doc_id"].eqNullSafe(b["doc_id"])
@@ -131,29 +144,43 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules=RULES) -> tuple[Le
             todo = F.broadcast(todo)
         rows = source.join(todo, same(source, todo)).select(source["blob"], "text", "todo")
     fresh = _scale.stored(_matches(rows, rules), "findings")
-    seen = todo.select("blob", F.col("todo").alias("rules")).unionByName(ledger.scanned).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
-    after = Ledger(seen, ledger.findings.unionByName(fresh))
+    new = Ledger(todo.select("blob", F.col("todo").alias("rules")), fresh)
+    after = Ledger(ledger.scanned.unionByName(new.scanned), ledger.findings.unionByName(fresh), new)
     current = F.concat_ws("@", "rule", "version").isin(*[r.key for r in rules])
     report = paths.distinct().join(after.findings.where(current), "blob").drop("blob")
     return after, report
 
 
 def update(path: str, docs: DataFrame, rules=RULES) -> DataFrame:
-    """:func:`scan` against the newest ledger under ``path`` in the shared folder; the ledger that
-    comes of it becomes the newest."""
+    """:func:`scan` against the ledger under ``path`` in the shared folder, to which what is new is
+    added. An addition counts once it is written whole."""
     spark = docs.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = hadoop(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    past = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
-    past = [p for p in past if fs.exists(hadoop(f"{path}/{p}/done"))]
-    after, report = scan(docs, Ledger.load(spark, f"{path}/{past[-1]}") if past else None, rules)
-    new = f"{path}/{len(past):08d}-{uuid.uuid4().hex}"
-    after.save(new)
-    fs.create(hadoop(f"{new}/done")).close()
+    done = [p for p in sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(hadoop(f"{path}/{p}/done"))] if fs.exists(root) else []
+    # What has been folded counts no more; the number of the last one is in the fold's name.
+    folds = [p for p in done if p.endswith("-fold")]
+    current = [p for p in done if not folds or p > folds[-1] or p == folds[-1]]
+
+    def add(ledger: Ledger, name: str) -> None:
+        ledger.save(f"{path}/{name}")
+        fs.create(hadoop(f"{path}/{name}/done")).close()
+
+    after, report = scan(docs, Ledger.load(spark, *[f"{path}/{p}" for p in current]) if current else None, rules)
+    add(after.new, f"{len(done):08d}-{uuid.uuid4().hex}")
+    if len(current) + 1 >= FOLD:
+        add(after.folded(), f"{len(done) + 1:08d}-{uuid.uuid4().hex}-fold")
     return report
 
 
+def rescan(docs: DataFrame, earlier, rules: Sequence[Rule]) -> DataFrame:
+    """The report of a second scan: the first one saw the documents for which ``earlier`` holds, with all
+    rules but the last."""
+    before, _ = scan(docs.where(earlier), None, rules[:-1])
+    return scan(docs, before, rules)[1]
+
+
 def _sql() -> str:
     parts = []
     for r in SQL_RULES:
