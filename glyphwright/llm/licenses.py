@@ -20,6 +20,7 @@ read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping
 
 import numpy as np
@@ -304,11 +305,14 @@ class Scanner:
 
     def choose(self, chains) -> list[tuple[int, int, int, int]]:
         """Those that stay where chains overlap, in order of place."""
-        kept: list[tuple[int, int, int, int]] = []
+        kept: list[tuple[int, int, int, int]] = []  # in order of place, apart from each other
+        starts: list[int] = []
         for c in sorted(set(chains), key=lambda c: (-c[0], c[1], c[2], self.sizes[c[3]], self.names[c[3]])):
-            if all(c[2] <= k[1] or k[2] <= c[1] for k in kept):
-                kept.append(c)
-        return sorted(kept, key=lambda c: c[1])
+            at = bisect_left(starts, c[1])
+            if (at == len(kept) or c[2] <= starts[at]) and (at == 0 or kept[at - 1][2] <= c[1]):
+                starts.insert(at, c[1])
+                kept.insert(at, c)
+        return kept
 
     def scan(self, column: pa.Array):
         """(row, template, first byte, end byte, covered words) of every finding."""
