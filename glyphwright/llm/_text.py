@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 
-#: Bytes of text that are taken at a time; a longer row is taken whole.
-SLAB = 1 << 20
+from ..functions.scan import raw, slabs  # noqa: F401
+
 _rng = np.random.default_rng(20240229)
 #: One table per position in a word: the hash of a word is the sum of its bytes' entries.
 TABLES = _rng.integers(0, 1 << 64, (64, 256), dtype=np.uint64)
@@ -26,27 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and the offsets of its rows; null is as empty."""
-    if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = column.buffers()[2]
-    bytes_ = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return bytes_, offsets - offsets[0]
-
-
-def slabs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows that hold about SLAB bytes."""
-    data, offsets = raw(column)
-    i, n = 0, len(column)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLAB, "right")) - 1)
-        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word: a run of ASCII letters, digits and non-ASCII bytes."""
     w = IS_WORD[data]

@@ -43,7 +43,7 @@ from .automaton import build
 SAMPLE_DOCS, SAMPLE_BYTES, SEED = 64, 24_000, 20240229
 MAX_BITS = 9.0  # letters drawn at random need over 11, the shortest documents in a known language up to 7
 LONG_BITS, SLACK = 4.5, 100.0  # long documents in a known language mostly need under 4.3, other languages and code mostly over 5
-BLOCK = 4096
+BLOCK, SLAB = 1024, 2 << 20  # classes that are walked side by side; bytes taken at a time
 NONE = "und"
 
 
@@ -155,7 +155,7 @@ class Model:
     def measured(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """:meth:`scores`, and the classes of each document."""
         out, sizes = [np.zeros((0, len(self.languages)))], [np.zeros(0, np.int64)]
-        for _, _, data, offsets in _text.slabs(column):
+        for _, _, data, offsets in _text.slabs(column, SLAB):
             classes, new = self.read(data, offsets)
             size = np.diff(new)
             with np.errstate(invalid="ignore", divide="ignore"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, langid, licenses, linededup, mixing, quality, secrets, sharding, simhash, topk
 
@@ -37,7 +38,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(_table(spark, sf_dir, "embeddings"))
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % topk.EVERY == 0))
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +54,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def line_store_reversible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two insertions into a store, the second of which asks its filters, and a deletion."""
+    docs = _table(spark, sf_dir, "documents")
+    return linededup.reversible(docs, F.pmod("doc_id", F.lit(2)) == 1, F.pmod("doc_id", F.lit(5)) == 0)
+
+
+def secret_ledger_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of all documents with all rules of which the ledger has half the documents and all rules but one."""
+    return secrets.rescan(_table(spark, sf_dir, "documents"), F.pmod("doc_id", F.lit(2)) == 0, secrets.SQL_RULES)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_mixing, op3_langid, op4_secrets, op5_sharding, op6_quality, op7_topk, op8_linededup, op9_bpe, op10_licenses)
+    for f in (op1_simhash, op2_mixing, op3_langid, op4_secrets, op5_sharding, op6_quality, op7_topk, op8_linededup, op9_bpe, op10_licenses, line_store_reversible, secret_ledger_rescan)
 }
-ORACLES = {"op2_mixing": mixing.SQL, "op4_secrets": secrets.SQL, "op5_sharding": sharding.SQL, "op7_topk": topk.SQL, "op8_linededup": linededup.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op4_secrets": secrets.SQL, "op5_sharding": sharding.SQL, "op7_topk": topk.SQL, "op8_linededup": linededup.SQL, "line_store_reversible": linededup.REVERSIBLE_SQL, "secret_ledger_rescan": secrets.SQL}

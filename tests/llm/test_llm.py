@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphwright.llm import _scale, automaton, bpe, cuckoo, langid, licenses, linededup, mixing, quality, secrets, sharding, simhash, topk
+from glyphwright.llm import _scale, _text, automaton, bpe, cuckoo, langid, licenses, linededup, mixing, quality, secrets, sharding, simhash, topk
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +118,38 @@ def test_simhash_equals_brute_force(docs):
     assert sorted(set(rows(simhash.duplicates(docs)))) == brute_duplicates(docs)
 
 
+def slow_fingerprint(text):
+    """256 majority votes of the distinct words, ties to zero, with the same hash of a word."""
+    words = sorted({w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())})
+    if not words:
+        return None
+    mask, out = (1 << 64) - 1, []
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    keys = []
+    for w in words:
+        total = sum(int(_text.TABLES[i & 63, c]) + (i >> 6 if len(w) > 64 else 0) for i, c in enumerate(w)) + len(w)
+        keys.append(mix(total & mask) >> 20)
+    for k in range(4):
+        hashed = [mix(x + ((k + 1) << 50)) for x in set(keys)]
+        votes = [sum(h.to_bytes(8, "little")[i // 8] >> (7 - i % 8) & 1 for h in hashed) for i in range(64)]
+        bits = "".join("1" if 2 * v > len(hashed) else "0" for v in votes)
+        out.append(int.from_bytes(bytes(int(bits[i : i + 8], 2) for i in range(0, 64, 8)), "little"))
+    return out
+
+
+def test_fingerprints_equal_slow_ones(docs):
+    texts = [r.text for r in docs.limit(40).collect()] + ["", "?!", "one", "one two", "One two ONE", "é ü", "x" * 200 + " y", " ".join(f"w{i}" for i in range(700)), None]
+    at, prints = simhash.fingerprint(pa.array(texts))
+    want = {i: p for i, t in enumerate(texts) if t and (p := slow_fingerprint(t))}
+    assert at.tolist() == sorted(want) and [[int(x) for x in p] for p in prints] == [want[i] for i in sorted(want)]
+
+
 def test_simhash_search():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
@@ -364,6 +396,27 @@ def test_secrets_of_any_length(spark):
     assert want <= got and len([x for x in got if x[1].startswith("url_password")]) == 2 * 8
 
 
+def test_rescan_equals_one_scan(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = rows(secrets.rescan(docs, F.pmod("doc_id", F.lit(2)) == 0, secrets.SQL_RULES))
+    assert got == rows(secrets.scan(docs, None, secrets.SQL_RULES)[1]) and got
+    assert secrets.rescan(odd, F.col("doc_id") > 2, secrets.SQL_RULES).count() == 0
+
+
+def test_ledger_folds(spark, monkeypatch, tmp_path):
+    """A ledger of many additions is folded; scans go on from there."""
+    monkeypatch.setattr(secrets, "FOLD", 3)
+    rule = (secrets.Rule("r", 1, "token = ([a-z]*)"),)
+    place = str(tmp_path / "ledger")
+    for n in range(1, 9):
+        docs = spark.createDataFrame([(i, "token = " + "abcdefgh"[:i]) for i in range(1, n + 1)], "doc_id long, text string")
+        assert sorted((r.doc_id, r.n_chars) for r in secrets.update(place, docs, rule).collect()) == [(i, i) for i in range(1, n + 1)]
+    names = sorted(p.name for p in (tmp_path / "ledger").iterdir())
+    assert sum(n.endswith("-fold") for n in names) >= 2
+    last = [n for n in names if n.endswith("-fold")][-1]
+    assert secrets.Ledger.load(spark, f"{place}/{last}").scanned.groupBy("blob").count().where("count > 1").count() == 0
+
+
 def test_ledger(spark, monkeypatch, tmp_path):
     seen = []
     plain = secrets._matches
@@ -549,20 +602,45 @@ def brute_topk(data, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile", [4, 7, 1000])
-def test_topk_equals_brute_force(spark, tile):
-    rng = random.Random(tile)
+@pytest.mark.parametrize(("block", "side"), [(4, 100), (7, 300), (1000, 1 << 20), (16, 1 << 20)])
+def test_topk_equals_brute_force(spark, monkeypatch, block, side):
+    """Grids of several rows and columns, and tiles smaller than their cells."""
+    monkeypatch.setattr(topk, "TILE", 6)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    rng = random.Random(block)
     data = [(i - 20, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)]
     data += [(100, None), (101, []), (102, [1.0, 2.0]), (103, [1.0, None, 2.0]), (104, [float("nan"), 1.0, 1.0]), (105, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (5, [9.0, 9.0, 9.0]), data[0], data[0]]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("block", F.lit("x")).withColumn("id", F.lit("y"))
-    assert sorted(rows(topk.search(df, 5, tile_rows=tile))) == brute_topk(data, 5)
-    assert topk.search(df.limit(0)).count() == 0
-    assert topk.search(df.where("vec_id = 0 and embedding[0] is not null").limit(1)).count() == 0
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("block", F.lit("x")).withColumn("id", F.lit("y")).withColumn("a.b", F.lit(1))
+    want = brute_topk(data, 5)
+    assert sorted(rows(topk.search(df, None, 5, block=block, side=side))) == want
+    asks = topk.search(df, df.where("vec_id % 3 = 0"), 5, block=block, side=side)
+    assert sorted(rows(asks)) == [r for r in want if r[0] % 3 == 0]
+    wide = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert sorted(rows(topk.search(wide, wide.where("vec_id = 7"), 5, block=block, side=side))) == [r for r in want if r[0] == 7]
+    if block == 7:
+        assert topk.search(df.limit(0)).count() == 0 and topk.search(df, df.limit(0)).count() == 0
+        assert topk.search(df.where("vec_id = 0 and embedding[0] is not null").limit(1)).count() == 0
+
+
+def test_topk_tile():
+    """Ties by the hundred, and scores nearer to each other than single precision can tell."""
+    rng = np.random.default_rng(8)
+    base = topk.unit(rng.normal(size=(1, 24)))
+    m = np.concatenate([np.repeat(base, 700, 0), topk.unit(base + rng.normal(size=(900, 24)) * 1e-4), topk.unit(rng.normal(size=(400, 24)))])
+    ids = rng.permutation(len(m)).astype(np.int64)
+    q = np.concatenate([m[:3], m[900:905], m[-5:]])
+    qids = np.concatenate([ids[:3], ids[900:905], [5000, 5001, 5002, 5003, 5004]])
+    got_ids, got = topk.tile(qids, q, ids, m, 7)
+    for k in range(len(q)):
+        exact = np.rint(m @ q[k] * 1e6).astype(int)
+        want = sorted((-int(s), int(i)) for s, i in zip(exact, ids, strict=True) if i != qids[k])[:7]
+        assert [(-s, i) for s, i in zip(got[k].tolist(), got_ids[k].tolist(), strict=True)] == want
 
 
 def test_topk_equals_sql(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    assert rows(topk.search(df, tile_rows=100)) == by_sql(topk.SQL, embeddings=duckdb.read_parquet(f"{DATA}/embeddings.parquet").to_arrow_table())
+    got = topk.search(df, df.where(F.col("vec_id") % topk.EVERY == 0), block=20, side=4000)
+    assert rows(got) == by_sql(topk.SQL, embeddings=duckdb.read_parquet(f"{DATA}/embeddings.parquet").to_arrow_table())
 
 
 # 8 Line dedup
@@ -623,6 +701,50 @@ def test_line_dedup_is_incremental_and_reversible(spark):
     assert refs(gone) == [] and sizes(gone) == 0 and gone.postings.count() == 0
 
 
+def test_line_dedup_epochs(spark, odd, docs):
+    """However many insertions the documents come in, and with filters and shards that are too small."""
+    want = rows(linededup.dedup(docs.select("doc_id", "text"), count="n", epochs=1))
+    assert rows(linededup.dedup(docs.select("doc_id", "text"), count="n", epochs=5)) == want
+    assert rows(linededup.dedup(odd.select("doc_id", "text"), epochs=4)) == rows(linededup.dedup(odd.select("doc_id", "text"), epochs=1))
+
+
+def test_line_store_grows(spark, monkeypatch):
+    """Filters that overflow are built anew, shards double, and deletion still leaves nothing."""
+    monkeypatch.setattr(linededup, "KEYS_PER_SHARD", 4)
+    make = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), F.col("id"), F.lit("\nline "), F.col("id") % 50, F.lit("\nall have this")).alias("text"))
+    store, removed, shards = None, [], []
+    for a, b in ((0, 10), (10, 60), (60, 400), (400, 401)):
+        store, gone = linededup.insert(make(a, b), store)
+        removed += [(r.d, x) for r in gone.collect() for x in r.lines]
+        shards.append(store.shards)
+    seen, want = set(), []
+    for i in range(401):
+        for n, k in enumerate((f"line {i}", f"line {i % 50}", "all have this")):
+            if k in seen:
+                want.append((i, n))
+            seen.add(k)
+    assert sorted(removed) == want and shards[0] == 16 and shards[2] > shards[1] and store.keys == len(seen) == store.refs.count()
+    held = {r.shard: cuckoo.CuckooFilter.from_bytes(r.filter) for r in store.filters.collect()}
+    by = defaultdict(list)
+    for r in store.refs.collect():
+        by[r.shard].append((r.hi, r.lo))
+    assert len(held) == store.filters.count() and all(held[s].contains(np.array(k, np.int64).view(np.uint64)).all() and len(held[s]) == len(k) for s, k in by.items())
+    left, _ = linededup.delete(store, make(0, 401))
+    assert left.keys == 0 and left.refs.count() == 0 and sum(len(cuckoo.CuckooFilter.from_bytes(r.filter)) for r in left.filters.collect()) == 0
+
+
+def test_line_store_reversible_equals_sql(docs):
+    got = rows(linededup.reversible(docs, F.pmod("doc_id", F.lit(2)) == 1, F.pmod("doc_id", F.lit(5)) == 0).select("event", "doc_id", "line"))
+    assert got == by_sql(linededup.REVERSIBLE_SQL, documents=arrow(docs, "doc_id", "text")) and {r[0] for r in got} == {"removed", "back"}
+
+
+def test_line_dedup_with_joins(docs, odd, monkeypatch):
+    """Lists that are too long to be broadcast are joined."""
+    want = [rows(linededup.dedup(x.select("doc_id", "text"))) for x in (docs, odd)]
+    monkeypatch.setattr(_scale, "BROADCAST_BYTES", 0)
+    assert [rows(linededup.dedup(x.select("doc_id", "text"))) for x in (docs, odd)] == want
+
+
 def test_cuckoo():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 64, (20_000, 2), dtype=np.uint64)
@@ -681,6 +803,26 @@ def test_licenses(spark, odd, docs):
     assert licenses.scan(odd).count() == 0 and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_license_choice_equals_brute_force():
+    rng = random.Random(9)
+    scanner = licenses.Scanner({"a": "one two three", "b": "four five six seven"})
+    for _ in range(60):
+        chains = [(rng.randint(1, 9), a := rng.randint(0, 60), a + rng.randint(1, 12), rng.randint(0, 1)) for _ in range(rng.randint(0, 40))]
+        kept = []
+        for c in sorted(set(chains), key=lambda c: (-c[0], c[1], c[2], scanner.sizes[c[3]], scanner.names[c[3]])):
+            if all(c[2] <= k[1] or k[2] <= c[1] for k in kept):
+                kept.append(c)
+        assert scanner.choose(chains) == sorted(kept, key=lambda c: c[1])
+
+
+def test_licenses_in_repeated_rows(spark):
+    """Every row reports for itself; a template twice in a text is found twice."""
+    text = f"x {licenses.TEMPLATES['Apache-2.0/short']} y"
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, f"{text} and then something else entirely, which goes on for a while so that nothing is chained: {text}")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.license) for r in licenses.scan(df).collect())
+    assert got == {(1, "Apache-2.0/short"): 2, (None, "Apache-2.0/short"): 1, (2, "Apache-2.0/short"): 2}
+
+
 def test_license_variants(spark):
     mit = licenses.TEMPLATES["MIT"]
     changed = "é\n * " + mit.upper().replace("FREE OF CHARGE, ", "").replace("TO DEAL", "TO REALLY DEAL") + " tail"
