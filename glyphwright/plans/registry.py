@@ -77,7 +77,7 @@ slips AS (
   UNION SELECT w, substr(w, 1, i - 1) || v || substr(w, i + 1) FROM places, (VALUES {_values([(v,) for v in seed._VOWELS])}) vowels(v) WHERE contains('{seed._VOWELS}', {_AT}) AND v <> {_AT}),
 dict AS (
   SELECT k, list(w ORDER BY w) AS cs FROM slips
-  WHERE k NOT IN (SELECT w FROM right_words) AND k NOT IN ({", ".join(f"'{w}'" for w in sorted({*seed._RIGHT, *_OWN}))}) GROUP BY k
+  WHERE k NOT IN (SELECT w FROM right_words) AND k NOT IN ({", ".join(f"'{w}'" for w in sorted({*seed.others(), *_OWN}))}) GROUP BY k
   UNION ALL SELECT * FROM (VALUES {_values(_OWN.items())}) own(k, cs))"""
 _FOUND = f"""
 found_{{0}} AS (

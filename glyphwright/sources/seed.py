@@ -3,6 +3,7 @@ that are made in them worked out by rule. Projects bring fuller lists as files."
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,10 +116,16 @@ def slips(word: str) -> set[str]:
     return swapped | missing | doubled | other
 
 
+@cache
+def others() -> frozenset[str]:
+    """Words besides :func:`words` that are right, all that some dialect has among them."""
+    return _RIGHT | {w for line in clusters().splitlines() for w in re.findall(r": (\w+)", line)}
+
+
 @cache
 def dictionary() -> dict[str, list[str]]:
     """misspelling: corrections in order. Right words are never in it."""
-    right = {*words(), *_RIGHT}
+    right = {*words(), *others()}
     out: dict[str, list[str]] = {}
     for word in words():
         for slip in slips(word):

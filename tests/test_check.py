@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from glyphwright.operators import check, curate, dialect, filetypes, fix, sinks
 from glyphwright.plans import registry
+from glyphwright.sources import seed
 
 
 def _find(spark, text, ignore=(), **lexicon):
@@ -158,8 +159,20 @@ def test_file_types(spark):
     assert {r.path: r.t for r in rows.select("path", filetypes.file_type(F.col("path"), registry._TYPES).alias("t")).collect()} == expected
     toplevel = {"html": ["*.html", "*.htm"], "in-canary": ["*.in"]}
     assert spark.range(1).select(filetypes.file_type(F.lit("index.html.in"), toplevel).alias("t")).first().t == "in-canary"
-    globs = spark.createDataFrame(filetypes.ranked(registry._TYPES), "type string, glob string, rank int")
-    assert {r.path: r.file_type for r in filetypes.match_table(rows, globs).collect() if not r.path.endswith(".in")} == {k: v for k, v in expected.items() if not k.endswith(".in")}
+    defaults = {"a.py" + ".in" * 7: "py", "x.h": "sv", "Cargo.toml": "rust", "LICENSE-MIT": "license", "a.min.js": "minified", "Makefile.in": "make", ".in": None, "my.Dockerfile": "docker", "a.b": None}
+    rows = spark.createDataFrame([(p,) for p in [*defaults, None]], "path string")
+    assert {r.path: r.t for r in rows.select("path", filetypes.file_type(F.col("path")).alias("t")).collect()} == defaults | {None: None}
+    own = filetypes.file_type(F.lit("dir/a.PYX"), own={"py": ["*.PYX"]})
+    assert spark.range(1).select(own.alias("t")).first().t == "py"
+
+
+def test_seed(spark):
+    words, wrong = set(seed.words()) | seed.others(), seed.dictionary()
+    assert len(wrong) > 50_000 and not words & set(wrong) and all(v for v in wrong.values())
+    assert wrong["recieve"] == ["receive"] and wrong["goverment"] == ["government"] and "travelled" not in wrong
+    assert check.findings(spark.createDataFrame([(" ".join(sorted(words)),)], "text string"), check.lexicon(spark, wrong)).count() == 0
+    table = {r.word: r for r in seed.dialects(spark).collect()}
+    assert table["colour"].A == ["color"] and table["colour"].mask == 14 and table["organise"].A == ["organize"] and "organize" not in table and len(table) > 400
 
 
 def test_reports(spark):
