@@ -13,12 +13,14 @@ from glyphwright.llm import _scale, bpe, langid, linededup, mixing, simhash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no known language go."""
+    """Documents of no known language go, null and empty texts among them; ties of score go to the first
+    language by name, which changes nothing here. Equal rows stay or go together."""
     return langid.keep_known(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that came before go, and documents of which nothing is left; n_chars follows."""
+    """Lines that came before, in order of doc_id (null last) and hash of the text, go, and documents of
+    which nothing is left; n_chars follows. Null and empty texts have no lines and stay."""
     kept = linededup.dedup(docs)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType))
@@ -26,17 +28,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id."""
+    """One document of each group stays, the one with the smallest doc_id (null last), ties by the text's
+    hash; of equal rows that stay one. Texts without words are nobody's duplicate and stay."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their weights within the budget of tokens."""
+    """Sources are mixed to their weights within the budget of tokens. A null source is one of its own;
+    ties of finish time go by hash, doc_id (null first), source and count."""
     return mixing.keep_mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become tokens; exact says that decoding them gave the text back."""
+    """Texts become tokens; exact says that decoding them gave the text back. A null text has null
+    tokens, an empty one none."""
     return bpe.encode(docs).drop("text")
 
 
