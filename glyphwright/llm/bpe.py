@@ -11,7 +11,9 @@ encoding the whole text at once. Decoding concatenates bytes up the same kind of
 The vocabulary (a file of ranks) is read once on the driver and broadcast: its size is fixed.
 
 Defined cases: a null text has null tokens and decodes to null; an empty one has none. The names of
-special tokens are ordinary text. Columns that already have the names of the new ones are replaced. Ties and repeated rows don't matter: each row is encoded by itself.
+special tokens are ordinary text. Columns that already have the names of the new ones are replaced. Ties
+and repeated rows don't matter: each row is encoded by itself. Very long texts are what the tree is for;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations

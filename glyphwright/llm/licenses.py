@@ -14,8 +14,9 @@ Words that no template has reset the automaton, so only runs of known words are
 for a whole batch at once. Cost follows the text, memory the templates, whose size is fixed.
 
 Defined cases: null and empty texts have no findings. Null or repeated doc_ids: every row is scanned by
-itself and reports under its doc_id. A template twice in a text is found twice. Other columns are never
-read.
+itself and reports under its doc_id, so repeated rows repeat their findings. A template twice in a text
+is found twice. Very long texts are scanned whole, one at a time. An empty table gives no rows. Other
+columns are never read.
 """
 
 from __future__ import annotations

@@ -22,8 +22,9 @@ Defined cases: null and empty texts have no lines and stay as they are. Blank li
 removed. Null doc_ids come last in order. Rows that repeat doc_id and text are one document and are
 cut alike; other texts under the same doc_id are other documents, ordered by the texts' hash. A
 document of which nothing but blank lines is left is dropped. Line ends are line feeds; a carriage
-return stays with its line. Other columns are passed on untouched,
-but for one of the name asked for the count, which is replaced.
+return stays with its line. Very long texts and lines are hashed whole. An empty table gives an empty
+one. Other columns are passed on untouched, but for one of the name asked for the count, which is
+replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ its size asks for.
 Defined cases: null texts count no tokens; a null source is a source of its own; sources without a
 weight have the default one; weights must be positive. Ties of finish time go by hash, doc_id (null
 first), source, and count; rows that are the same in all of these are interchangeable. A source that
-runs out leaves its share to the others. Other columns are never read.
+runs out leaves its share to the others. Very long texts are counted whole, where they are; a document
+longer than what is left of the budget ends the mixture. An empty table gives no rows. Other columns are
+never read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ their hash. Matching is done by the JVM's regex engine on whole texts.
 Defined cases: a null content is no version and has no findings; an empty one is a blob like others. A
 null path (doc_id) is a path. A path may have many versions. Repeated rows give one report. Every
 match counts, numbered from 0 in order of place (``nth``); secrets themselves aren't stored, only their
-SHA-256 and length. Other columns are never read.
+SHA-256 and length. Very long texts are matched whole. An empty table adds nothing and reports nothing.
+Other columns are never read.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ are others, and rows without doc_id take part (after all that have one) but can'
 report. Of a group the document with the smallest doc_id stays, ties by the text's hash. Of equal
 fingerprints one stands for all, so copies by the thousand cost one search. Dropping leaves one row of
 equal rows that stay, the one whose columns have the smallest hash; the search reads no other columns.
+Very long texts are fingerprinted whole, one at a time; shorter ones some at a time, never as many as
+the 2**20 rows that the upper 20 bits of a feature can tell apart.
 """
 
 from __future__ import annotations

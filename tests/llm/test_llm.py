@@ -896,6 +896,13 @@ def test_pipeline_equals_brute_force(spark, docs, codec):
         assert r.tokens == codec.encoder.encode_ordinary(texts[i]) and r.exact and r.n_tokens == len(r.tokens) and (r.lang, r.source, r.n_chars) == (kept[i].lang, kept[i].source, len(texts[i]))
 
 
+def test_pipeline_on_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd):
     import corpus_pipeline
 
