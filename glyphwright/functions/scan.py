@@ -244,24 +244,38 @@ def of_rows(data: np.ndarray, offsets: np.ndarray, unicode: bool = True, valid:
     return start[order], end[order], plain[order]
 
 
+def _lists(texts: pa.Array, unicode: bool, values) -> pa.Array:
+    """A list for each text: ``values(data, start, end, first)`` of its identifiers."""
+    counts, parts = [np.zeros(1, np.int32)], []
+    for _, _, data, offsets in slabs(texts):
+        start, end, _ = of_rows(data, offsets, unicode)
+        at = np.searchsorted(start, offsets)
+        counts.append(np.diff(at).astype(np.int32))
+        parts.append(values(data, start, end, np.repeat(offsets[:-1], np.diff(at))))
+    ends = pa.array(np.cumsum(np.concatenate(counts), dtype=np.int32))
+    if texts.null_count:  # a list begins with a null offset where the row is null
+        ends = pa.array(ends.to_numpy(), pa.int32(), mask=np.r_[texts.is_null().to_numpy(zero_copy_only=False), False])
+    return pa.ListArray.from_arrays(ends, pa.concat_arrays(parts) if parts else values(np.zeros(0, np.uint8), _none, _none, _none))
+
+
 def identifiers_column(text: Column, unicode: bool = True) -> Column:
     """The identifiers of a text in order, as :func:`tokens.identifiers` gives them."""
     ship(SparkSession.active())
 
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
-        counts, parts = [np.zeros(1, np.int32)], []
-        for _, _, data, offsets in slabs(texts):
-            start, end, _ = of_rows(data, offsets, unicode)
-            at = np.searchsorted(start, offsets)
-            counts.append(np.diff(at).astype(np.int32))
-            parts.append(_slices(data, start, end).cast(pa.string()))
-        ends = np.cumsum(np.concatenate(counts), dtype=np.int32)
-        if texts.null_count:  # a list begins with a null offset where the row is null
-            mask = np.r_[texts.is_null().to_numpy(zero_copy_only=False), False]
-            ends = pa.array(ends, pa.int32(), mask=mask)
-        values = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()) if isinstance(ends, np.ndarray) else ends, values)
+        return _lists(texts, unicode, lambda data, start, end, first: _slices(data, start, end).cast(pa.string()))
+
+    return found(text)
+
+
+def offsets_column(text: Column, unicode: bool = True) -> Column:
+    """Where in bytes the identifiers of a text begin; aligned with :func:`identifiers_column`."""
+    ship(SparkSession.active())
+
+    @F.arrow_udf("array<bigint>")
+    def found(texts: pa.Array) -> pa.Array:
+        return _lists(texts, unicode, lambda data, start, end, first: pa.array(start - first, pa.int64()))
 
     return found(text)
 

@@ -96,6 +96,13 @@ def word_gaps(identifier: Column) -> Column:
     return F.regexp_extract_all(identifier, F.lit(f"(?s)(.*?)({WORD_PATTERN})"), F.lit(1))
 
 
+def word_error(token: Column) -> Column:
+    """Why a token isn't just one word: it has none, something before the first, or several; else null.
+    What follows a word isn't looked at."""
+    found, gaps_ = words(token), word_gaps(token)
+    return F.when(F.size(found) == 0, "is nothing").when(gaps_[0] != "", "has padding").when(F.size(found) > 1, "is multiple words")
+
+
 def word_case(word: Column) -> Column:
     """Lower, Title, Upper, or None for numbers; a single capital is Upper."""
     return (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tokens as T
+
 #: Where a swap of letters, two edits, would lead to a worse choice.
 KEEP = [("alinging", "aligning"), ("alingment", "alignment"), ("alingments", "alignments")]
 
@@ -27,6 +29,16 @@ def only_words(entries: DataFrame) -> DataFrame:
     return entries.where(F.rlike("key", letters)).withColumn("corrections", F.filter("corrections", lambda c: F.rlike(c, letters)))
 
 
+def is_one_word(text):
+    """Whether a text has exactly one word and no underscore."""
+    return (F.size(F.flatten(F.transform(T.identifiers(text), T.words))) == 1) & ~F.contains(text, F.lit("_"))
+
+
+def single_words(entries: DataFrame) -> DataFrame:
+    """Like :func:`only_words`, but what counts is that the tokenizer finds one word."""
+    return entries.where(is_one_word(F.col("key"))).withColumn("corrections", F.filter("corrections", is_one_word))
+
+
 def without(entries: DataFrame, words: DataFrame) -> DataFrame:
     """Drop keys that are among (word), whatever their case."""
     return entries.join(words.select(F.lower("word").alias("key")), "key", "left_anti")

@@ -565,6 +565,25 @@ def dialect_variants(spark, sf_dir):
     return dialect.variants(_clusters(spark))
 
 
+_TOKENS = ["word", "Word", "_word", "twoWords", "word2", "7", "_", "ABC", "ABCword"]
+
+
+@query(
+    f"WITH t(token) AS (VALUES {_values([(t,) for t in _TOKENS])}) SELECT token, CASE WHEN NOT regexp_matches(token, '[A-Za-z0-9]') THEN 'is nothing' WHEN starts_with(token, '_') THEN 'has padding' "
+    "WHEN NOT regexp_full_match(token, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') THEN 'is multiple words' END AS error FROM t"
+)
+def word_error(spark, sf_dir):
+    """T29."""
+    return spark.createDataFrame([(t,) for t in _TOKENS], "token string").select("token", T.word_error(F.col("token")).alias("error"))
+
+
+@query(f"WITH {_NAMED} SELECT key AS doc_id, count(*) AS n, sum(off)::BIGINT AS offsets, max(off)::BIGINT AS last FROM named JOIN (SELECT key, pos, off FROM tok_documents) USING (key, pos) GROUP BY key")
+def byte_offsets(spark, sf_dir):
+    """Where in UTF-8 bytes the identifiers of each document begin."""
+    places = F.explode(scan.offsets_column(F.col("text"))).alias("off")
+    return _table(spark, sf_dir, "documents").select("doc_id", places).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("off").alias("offsets"), F.max("off").alias("last"))
+
+
 _ENTRIES = [(0, "Foo", ["xyz", "abc"]), (1, "foo", ["bar", "xyz"]), (2, "colour", ["color"]), (3, "cyc", ["cycle"]), (4, "cycle", ["cyc"]), (5, "allowd", ["allowed"]), (6, "it's", ["its"]), (7, "neighourhood", ["neighborhood"]), (8, "solo", ["so", "s-o"])]
 _ENTRY_SCHEMA = "pos int, key string, corrections array<string>"
 _MERGED = f"WITH e(pos, key, cs) AS (VALUES {_values(_ENTRIES)}), x AS (SELECT lower(key) AS key, pos, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM e), f AS (SELECT key, c, min(pos * 1000 + i) AS o FROM x GROUP BY key, c), m AS (SELECT key, list(c ORDER BY o) AS cs FROM f GROUP BY key)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tomllib
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
@@ -141,6 +142,7 @@ def _fill(kind, table: Mapping[str, Any], where: str):
     out = {}
     for k, v in table.items():
         if k in _RETIRED:
+            warnings.warn(f"`{where}.{k}` has no effect any more", FutureWarning, stacklevel=3)
             continue
         if k not in known:
             raise ConfigError(f"unknown key `{where}.{k}`")

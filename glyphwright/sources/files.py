@@ -223,6 +223,29 @@ def read(spark: SparkSession, paths: Iterable[tuple[str, bool]], batch: int = 25
     return listed.mapInArrow(load, SCHEMA)
 
 
+def read_store(spark: SparkSession, root: str, config: Walk | None = None, tool: str = TOOL) -> DataFrame:
+    """The files under ``root`` in any store that Spark reads, as rows of SCHEMA, listed and read by
+    Spark. The configuration's own rules leave files out; ignore files in the tree aren't read. Spark
+    itself never lists names that begin with a dot or an underscore."""
+    ship(spark)
+    config = config or Walk()
+    own, names = rules(config.extend_exclude), file_names(tool)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+
+    def left_out(path: str) -> bool:
+        relative = path.split(base, 1)[-1].lstrip("/")
+        return relative.rsplit("/", 1)[-1] in names or excluded(own, relative)
+
+    def load(batches):
+        for b in batches:
+            rows = [(p, False, *decode(c)) for p, c in zip(*(x.to_pylist() for x in b.columns), strict=True) if not left_out(p)]
+            if rows:
+                yield _batch(rows)
+
+    return found.mapInArrow(load, SCHEMA)
+
+
 #: Bytes of content that a task hands on at a time.
 OUT_BYTES = 16 << 20
 

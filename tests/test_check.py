@@ -145,6 +145,12 @@ def test_curation(spark):
     assert run(("neighourhood", ["neighborhood"])) == {"neighourhood": ["neighbourhood"]}
 
 
+def test_single_words(spark):
+    entries = spark.createDataFrame([("it's", ["its"]), ("foo", ["bar", "b_r", "two words", "don't", "x1"]), ("a_b", ["c"]), ("7", ["seven"])], "key string, corrections array<string>")
+    assert {r.key: r.corrections for r in curate.single_words(entries).collect()} == {"foo": ["bar"]}  # a number is no identifier
+    assert {r.key: r.corrections for r in curate.only_words(entries).collect()} == {"foo": ["bar"]}
+
+
 def test_glob_order():
     order = lambda *g: sorted(g, key=filetypes.sort_key)
     assert order("b", "c", "a") == ["a", "b", "c"]

@@ -73,6 +73,18 @@ def test_read_check_and_write(spark, tmp_path):
     assert len(files.read(spark, [(str(tmp_path / "long.txt"), True)], head=True).first().content) == files.HEAD
 
 
+def test_read_store(spark, tmp_path):
+    _tree(tmp_path, {"a.txt": "teh", ".hidden/b.txt": "", "skip/c.txt": "", "d/e.txt": "é", "d/glyphwright.toml": "", ".keep": ""})
+    read = files.read_store(spark, str(tmp_path), config.Walk(extend_exclude=("skip/",)))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in read.collect()) == ["a.txt", "e.txt"]
+    assert check.findings(read, check.lexicon(spark, words={"teh": "the"}), "content", ["path"]).count() == 1
+
+
+def test_retired_keys():
+    with pytest.warns(FutureWarning, match="ignore-hex"):
+        assert config.parse("[default]\nignore-hex = true").default == config.Engine()
+
+
 def test_config_merging():
     c = config.parse('[default]\nlocale = "en-gb"\nextend-ignore-re = ["a"]\n[default.extend-words]\nteh = "teh"\n[type.py]\ncheck-file = false\nextend-glob = ["*.pyx"]\n')
     merged = config.BUILT_IN.merged(c).merged(config.parse('[default]\nextend-ignore-re = ["b"]\n[default.extend-words]\nhte = ""\n'))

@@ -1,6 +1,10 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphwright.functions import scan
 from glyphwright.functions import tokens as T
 
 IDENTIFIERS = [
@@ -59,6 +63,35 @@ def test_words(spark):
     assert got == {t: list(e) for t, e in SPLITS}
 
 
+def test_single_words(spark):
+    expected = {"word": None, "Word": None, "": "is nothing", "日本": "is nothing", "_word": "has padding", "twoWords": "is multiple words", "a1": "is multiple words", "7": None}
+    df = spark.createDataFrame([(t,) for t in expected], "t string")
+    assert {r.t: r.e for r in df.select("t", T.word_error(F.col("t")).alias("e")).collect()} == expected
+
+
+def _odd_texts():
+    rng = random.Random(5)
+    pieces = ["word", "Word.", "(a", "don't", "x@y.z", "0xFF", "#abc", "#zz", "%d", "\\n", "http://a.b/c", "é", "naïve,", "日本", "a_b", "1st", "''", "--", "=", "ab==", "a/b", "+", "\n", "\t", '"', "<b>", "[", "]", "A" * 40, "ab" * 16, "\u200b", "“q”", "x=", "\x00"]
+    return ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", "\n", ","]) for _ in range(rng.randrange(0, 14))) for _ in range(1500)] + [t for t, _ in IDENTIFIERS]
+
+
+def test_scanner_equals_the_grammar(spark):
+    """Fields, numpy and remembered parts together against the regular expression over whole texts, row by
+    row and in one column with rows next to each other; with nulls, and by bytes."""
+    texts = [None, *_odd_texts(), "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    for unicode in (True, False):
+        rows = df.select("i", "t", scan.identifiers_column(F.col("t"), unicode).alias("a"), T.identifiers(F.col("t"), unicode).alias("b")).collect()
+        assert [(r.t, r.a) for r in rows] == [(r.t, r.b) for r in rows]
+    for t in texts:
+        if t:
+            data = t.encode()
+            start, end, plain = scan.identifiers(np.frombuffer(data, np.uint8), np.array([0]))
+            scan._fields.clear()
+            assert list(zip(start.tolist(), end.tolist(), strict=True)) == list(scan.parse(data))
+            assert all(data[a:b].isalpha() and data[a:b].isascii() for a, b, p in zip(start, end, plain, strict=True) if p)
+
+
 @pytest.mark.parametrize("text,offset,number,line,at", [
     ("hello world", 6, 1, "hello world", 6), ("1\n2\n3", 0, 1, "1", 0), ("1\n2\n3", 2, 2, "2", 0), ("1\n2\n3", 4, 3, "3", 0),
     ("1\nhello world\n2", 8, 2, "hello world", 6), ("1\r\nhello world\r\n2", 9, 2, "hello world", 6), ("é\nñ x", 6, 2, "ñ x", 3),
