@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch that goes to a Python worker, where the session hasn't said otherwise than
 #: Spark does. Buffers for several batches stand on both sides of every running task.
-BATCH_BYTES, _SPARKS = 8 << 20, 64 << 20
+BATCH_BYTES, _SPARKS = 4 << 20, 64 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
