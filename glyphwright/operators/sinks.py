@@ -6,8 +6,9 @@ import json
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scan
@@ -46,17 +47,53 @@ def parse_lines(rows: DataFrame, kind: str, path: str = "path", text: str = "tex
     return one.select("path", "pos", F.to_json(F.struct(F.lit("parse").alias("type"), "path", F.lit(0).alias("line_num"), F.lit(kind.removesuffix("s")).alias("kind"), "data")).alias("value"))
 
 
+_DIM, _STYLES, _END = b"\x1b[2m", (b"\x1b[36m", b"\x1b[1;36m"), b"\x1b[0m"
+
+
+def _shown(data: bytes, spans) -> Iterator[bytes]:
+    """``data`` with its spans in two alternating styles, all else dim."""
+    at = 0
+    for i, (start, end) in enumerate(spans):
+        if start > at:
+            yield _DIM + data[at:start] + _END
+        yield _STYLES[i % 2] + data[start:end] + _END
+        at = end
+    if at < len(data):
+        yield _DIM + data[at:] + _END
+
+
 def highlight(text: Column, kind: str = "identifiers") -> Column:
-    """The text with its tokens in two alternating styles, all else dim."""
-    dim, styles, end = "\x1b[2m", ("\x1b[36m", "\x1b[1;36m"), "\x1b[0m"
-    paint = lambda t, i: F.concat(F.when(i % 2 == 0, F.lit(styles[0])).otherwise(F.lit(styles[1])), t, F.lit(end))
-    quiet = lambda g: F.when(g == "", F.lit("")).otherwise(F.concat(F.lit(dim), g, F.lit(end)))
-    gaps, tokens = T.gaps(text), T.identifiers(text)
-    shown = F.transform(tokens, paint)
-    if kind == "words":
-        shown = F.transform(tokens, lambda t: F.concat(F.array_join(F.zip_with(T.word_gaps(t), F.transform(T.words(t), paint), lambda g, w: F.concat(quiet(g), w)), ""), quiet(F.substr(t, F.length(F.concat(F.array_join(T.word_gaps(t), ""), F.array_join(T.words(t), ""))) + 1))))
-    used = F.length(F.array_join(gaps, "")) + F.length(F.array_join(tokens, ""))
-    return F.concat(F.array_join(F.zip_with(gaps, shown, lambda g, t: F.concat(quiet(g), t)), ""), quiet(F.substr(text, used + 1)))
+    """The text with its tokens in two alternating styles, all else dim; words alternate within their
+    identifier."""
+    ship(SparkSession.active())
+
+    def painted(data: bytes, spans) -> bytes:
+        if kind == "identifiers":
+            return b"".join(_shown(data, spans))
+        out, at = [], 0
+        for start, end in spans:
+            token = data[start:end].decode()
+            size = lambda n, token=token: len(token[:n].encode())
+            if start > at:
+                out.append(_DIM + data[at:start] + _END)
+            out += _shown(data[start:end], [tuple(map(size, m.span())) for m in scan.WORD.finditer(token)])
+            at = end
+        if at < len(data):
+            out.append(_DIM + data[at:] + _END)
+        return b"".join(out)
+
+    @F.arrow_udf("string")
+    def shown(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, _, data, offsets in scan.slabs(texts):
+            start, end, _ = scan.of_rows(data, offsets)
+            cuts = np.searchsorted(start, offsets)
+            for r in range(len(offsets) - 1):
+                mine = slice(cuts[r], cuts[r + 1])
+                out.append(painted(bytes(data[offsets[r] : offsets[r + 1]]), zip((start[mine] - offsets[r]).tolist(), (end[mine] - offsets[r]).tolist(), strict=True)))
+        return pa.array(out, pa.binary(), mask=texts.is_null().to_numpy(zero_copy_only=False)).cast(pa.string())
+
+    return shown(text)
 
 
 def sarif_results(found: DataFrame, path: str = "path") -> DataFrame:
