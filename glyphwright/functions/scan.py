@@ -3,7 +3,7 @@
 The grammar of :mod:`tokens` never looks across white space, quotes, angle or square brackets, so a text
 falls into fields that can be read by themselves. Most fields are a plain word with punctuation;
 numpy finds those for a whole batch at once, looks their words up by hash, and only what a lexicon may
-know is looked at one by one. Other fields, and words of mixed case or letters beyond ASCII, are read
+know is looked at one by one. Other fields, and words of mixed case or letters beyond Latin-1, are read
 once for each different one and remembered for the batches that follow.
 """
 
@@ -31,8 +31,11 @@ for _flag, _bytes in (
     (_BAD_BEFORE, b"\\%#"), (_BAD_AFTER, b"@/=+"), (_UPPER, bytes(range(65, 91))), (_FEED, b"\n"),
 ):
     _FLAGS[list(_bytes)] |= _flag
-#: Letters of a plain word; longer ones may be keys or hashes.
+#: Bytes of a plain word, which is of letters of ASCII or Latin-1; longer ones may be keys or hashes.
 PLAIN = 31
+_PLAIN_KEY = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The first byte of a letter of Latin-1; the second ones that are no letters' (× and ÷).
+_LEAD, _NO_LETTERS = 0xC3, (0x97, 0xB7)
 
 
 def _python(pattern: str) -> str:
@@ -127,11 +130,16 @@ def parse(field_: bytes, first: bool = True) -> tuple[tuple[int, int], ...]:
 
 def identifiers(data: np.ndarray, cuts: np.ndarray, holes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, plain) of the identifiers in order. cuts: where a text begins; holes: bytes that
-    belong to no text; plain: whether it's made of ASCII letters."""
+    belong to no text; plain: whether it's a plain word."""
     n = len(data)
     if not n:
         return _none, _none, np.zeros(0, bool)
     flags = _FLAGS[data]
+    lead = data == _LEAD
+    if lead.any():
+        letter = np.zeros(n + 1, bool)
+        letter[1:n] = lead[:-1] & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != _NO_LETTERS[0]) & (data[1:] != _NO_LETTERS[1])
+        flags[letter[:-1] | letter[1:]] |= _LETTER
     hard = (flags & _HARD) != 0
     if holes is not None:
         hard[holes] = True
@@ -281,7 +289,7 @@ def offsets_column(text: Column, unicode: bool = True) -> Column:
 
 
 def _packed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of plain words, the same for upper and lower case."""
+    """A hash of plain words, the same for upper and lower case, and now and then for other letters."""
     padded = np.concatenate([data, np.zeros(40, np.uint8)])
     words = np.ndarray((len(padded) - 7,), np.uint64, padded, strides=(1,))
     size = end - start
@@ -322,8 +330,9 @@ class Matcher:
     keys: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        plain = sorted({k.lower() for k in (*self.words, *self.names) if re.fullmatch(f"[A-Za-z]{{1,{PLAIN}}}", k)})
-        data = np.frombuffer("".join(plain).encode(), np.uint8)
+        plain = sorted({k.lower().encode() for k in (*self.words, *self.names) if _PLAIN_KEY.fullmatch(k)})
+        plain = [k for k in plain if len(k) <= PLAIN]
+        data = np.frombuffer(b"".join(plain), np.uint8)
         ends = np.cumsum([len(k) for k in plain], dtype=np.int64)
         self.keys = np.unique(_packed(data, np.r_[0, ends[:-1]].astype(np.int64), ends)) if plain else np.zeros(0, np.uint64)
 
@@ -367,10 +376,14 @@ class Matcher:
         start, end, plain = of_rows(data, offsets, unicode, valid)
         if not len(start):
             return _none, []
+        high, lead = (data >= 65) & (data <= 90), data == _LEAD
+        if lead.any():
+            high[1:] |= lead[:-1] & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
         upper = np.zeros(len(data) + 1, np.int32)
-        np.cumsum((data >= 65) & (data <= 90), out=upper[1:])
+        np.cumsum(high, out=upper[1:])
         capitals = upper[end] - upper[start]
-        single = plain & ((capitals == upper[start + 1] - upper[start]) | (capitals == end - start))
+        # In lower case but for the first letter, or all in upper case.
+        single = plain & ((capitals == upper[start + 1 + lead[start]] - upper[start]) | (capitals == end - start))
         one = np.flatnonzero(single)
         hashed = _packed(data, start[one], end[one])
         hit = self.maybe[hashed >> np.uint64(44)]

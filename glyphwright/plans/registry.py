@@ -37,8 +37,17 @@ def query(sql: str | None = None):
     return add
 
 
+#: Bytes of a table up to which it may be dealt to all cores, if it has fewer files than there are.
+SPREAD_BYTES = 128 << 20
+
+
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A task reads a whole row group, so a small one of few files is dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores and int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES:
+        return rows.repartition(cores)
+    return rows
 
 
 @cache

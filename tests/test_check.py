@@ -19,6 +19,15 @@ def test_words_in_identifiers(spark):
     ]
 
 
+def test_letters_of_latin_1(spark):
+    """Words whose letters aren't all ASCII, in every case, and what only looks like them to a hash."""
+    words = {"über": "ober", "naïve": "naive", "éé": "ee", "straße": "strasse", "ÿx": "yx"}
+    found = _find(spark, "Über ÜBER über üBer Naïve naÏve ÉÉ éé Éé STRASSE straße strañe ßx ÿx Ÿx xüber über_naïve överß", words=words)
+    text = "Über ÜBER über üBer Naïve naÏve ÉÉ éé Éé STRASSE straße strañe ßx ÿx Ÿx xüber über_naïve överß".encode()
+    assert all(text[a : a + len(t.encode())].decode() == t for a, t, _, _ in found)
+    assert [t for _, t, _, _ in found] == ["Über", "ÜBER", "über", "Naïve", "ÉÉ", "éé", "Éé", "straße", "ÿx", "Ÿx", "über", "naïve"]
+
+
 def test_overrides_come_first(spark):
     assert _find(spark, "teh Bad", words={"teh": "teh", "BAD": "good"}) == [(4, "Bad", "Corrections", ("Good",))]
     assert _find(spark, "tehBad teh", identifiers={"tehBad": ""}) == [(0, "tehBad", "Invalid", ()), (7, "teh", "Corrections", ("the",))]
