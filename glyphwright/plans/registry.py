@@ -45,7 +45,7 @@ def _table(spark, sf_dir, name):
     """A table. A task reads a whole row group, so a small one of few files is dealt to all cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if len(rows.inputFiles()) < cores and int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES:
+    if len(rows.inputFiles()) < cores and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES:
         return rows.repartition(cores)
     return rows
 
