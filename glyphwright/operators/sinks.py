@@ -38,9 +38,9 @@ def json_lines(found: DataFrame, path: str = "path") -> DataFrame:
     return found.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def parse_lines(rows: DataFrame, kind: str, path: str = "path", text: str = "text") -> DataFrame:
-    """JSON lines of a text's identifiers or words, in order."""
-    tokens = scan.identifiers_column(F.col(text))
+def parse_lines(rows: DataFrame, kind: str, path: str = "path", text: str = "text", upper_hashes: bool = False) -> DataFrame:
+    """JSON lines of a text's identifiers or words, in order; ``upper_hashes``: those of hashes in upper case too."""
+    tokens = scan.identifiers_column(F.col(text), upper_hashes=upper_hashes)
     if kind == "words":
         tokens = F.flatten(F.transform(tokens, T.words))
     one = rows.select(F.col(path).alias("path"), F.posexplode(tokens).alias("pos", "data"))
