@@ -15,7 +15,7 @@ def hashes(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["byte_offsets", "ident_tokens_documents", "parse_identifiers"])
+@pytest.mark.parametrize("name", ["byte_offsets", "ident_tokens_documents", "parse_identifiers", "parse_words"])
 def test_hashes_in_upper_case_as_in_sql(spark, hashes, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{hashes}/documents.parquet/*.parquet')")
