@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +48,52 @@ def parse_lines(rows: DataFrame, kind: str, path: str = "path", text: str = "tex
     return one.select("path", "pos", F.to_json(F.struct(F.lit("parse").alias("type"), "path", F.lit(0).alias("line_num"), F.lit(kind.removesuffix("s")).alias("kind"), "data")).alias("value"))
 
 
-_DIM, _STYLES, _END = b"\x1b[2m", (b"\x1b[36m", b"\x1b[1;36m"), b"\x1b[0m"
-
-
-def _shown(data: bytes, spans) -> Iterator[bytes]:
-    """``data`` with its spans in two alternating styles, all else dim."""
-    at = 0
-    for i, (start, end) in enumerate(spans):
-        if start > at:
-            yield _DIM + data[at:start] + _END
-        yield _STYLES[i % 2] + data[start:end] + _END
-        at = end
-    if at < len(data):
-        yield _DIM + data[at:] + _END
+#: What begins a piece: dim, and the two styles. What ends it.
+_STYLES, _END = (b"\x1b[2m", b"\x1b[36m", b"\x1b[1;36m"), b"\x1b[0m"
+_STYLE_BYTES = np.array([len(s) for s in _STYLES])
+
+
+def _put(out: np.ndarray, at: np.ndarray, what: bytes) -> None:
+    for i, byte in enumerate(what):
+        out[at + i] = byte
+
+
+def _painted(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, style: np.ndarray, cuts: Sequence[np.ndarray] = ()) -> pa.Array:
+    """Rows with their tokens in a style (1 or 2), all else dim in pieces that end at ``cuts`` too."""
+    edge = np.zeros(len(data) + 1, bool)
+    for x in (start, end, offsets, *cuts):
+        edge[x] = True
+    edges = np.flatnonzero(edge)
+    size = np.diff(edges)
+    kind = np.zeros(len(size), np.int8)
+    kind[np.searchsorted(edges, start)] = style
+    before = _STYLE_BYTES[kind]
+    begin = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(before + size + len(_END), out=begin[1:])
+    out = np.empty(begin[-1], np.uint8)
+    out[np.arange(len(data)) + np.repeat(begin[:-1] + before - edges[:-1], size)] = data
+    for k, what in enumerate(_STYLES):
+        _put(out, begin[:-1][kind == k], what)
+    _put(out, begin[1:] - len(_END), _END)
+    rows = begin[np.searchsorted(edges, offsets)].astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(rows) - 1, [None, pa.py_buffer(rows), pa.py_buffer(out)])
+
+
+def painted(texts: pa.Array, kind: str = "identifiers") -> pa.Array:
+    """What :func:`highlight` gives, for a whole column; tokens are never looked at one by one but for
+    the words of identifiers that aren't a plain one, once for each different one of a megabyte."""
+    parts = []
+    for _, _, data, offsets in scan.slabs(texts):
+        start, end, plain = scan.of_rows(data, offsets)
+        if kind == "words":
+            first, last, nth = scan.words(data, start, end, plain)
+            parts.append(_painted(data, offsets, first, last, 1 + nth % 2, (start, end)))
+        else:
+            at = np.searchsorted(start, offsets)
+            nth = np.arange(len(start)) - np.repeat(at[:-1], np.diff(at))
+            parts.append(_painted(data, offsets, start, end, 1 + nth % 2))
+    out = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.string())) if texts.null_count else out
 
 
 def highlight(text: Column, kind: str = "identifiers") -> Column:
@@ -67,31 +101,9 @@ def highlight(text: Column, kind: str = "identifiers") -> Column:
     identifier."""
     ship(SparkSession.active())
 
-    def painted(data: bytes, spans) -> bytes:
-        if kind == "identifiers":
-            return b"".join(_shown(data, spans))
-        out, at = [], 0
-        for start, end in spans:
-            token = data[start:end].decode()
-            size = lambda n, token=token: len(token[:n].encode())
-            if start > at:
-                out.append(_DIM + data[at:start] + _END)
-            out += _shown(data[start:end], [tuple(map(size, m.span())) for m in scan.WORD.finditer(token)])
-            at = end
-        if at < len(data):
-            out.append(_DIM + data[at:] + _END)
-        return b"".join(out)
-
     @F.arrow_udf("string")
     def shown(texts: pa.Array) -> pa.Array:
-        out = []
-        for _, _, data, offsets in scan.slabs(texts):
-            start, end, _ = scan.of_rows(data, offsets)
-            cuts = np.searchsorted(start, offsets)
-            for r in range(len(offsets) - 1):
-                mine = slice(cuts[r], cuts[r + 1])
-                out.append(painted(bytes(data[offsets[r] : offsets[r + 1]]), zip((start[mine] - offsets[r]).tolist(), (end[mine] - offsets[r]).tolist(), strict=True)))
-        return pa.array(out, pa.binary(), mask=texts.is_null().to_numpy(zero_copy_only=False)).cast(pa.string())
+        return painted(texts, kind)
 
     return shown(text)
 

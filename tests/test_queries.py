@@ -1,8 +1,11 @@
 import duckdb
+import pyarrow as pa
 import pytest
 
 from glyphwright.functions import scan
+from glyphwright.operators import sinks
 from glyphwright.plans import registry
+from test_tokens import _odd_texts
 
 UPPER = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
 TEXTS = [f"SHA {UPPER} AND THE REST", f"({UPPER.lower()}, {UPPER}) é", UPPER * 4, f"{UPPER}@here.org x", f"{UPPER[:31]} {UPPER[:32]}. _{UPPER}", "", None, "1" * 40 + " one"]
@@ -29,3 +32,39 @@ def test_the_grammar_itself_skips_hashes_in_upper_case():
     cut = lambda spans: [data[a:b].decode() for a, b in spans]
     assert cut(scan.parse(data)) == ["SHA", "x"]
     assert cut(scan.parse(data, upper_hashes=True)) == ["SHA", UPPER, "x"]
+
+
+def _shown(data, spans, dim="\x1b[2m", styles=("\x1b[36m", "\x1b[1;36m"), end="\x1b[0m"):
+    out, at = [], 0
+    for i, (a, b) in enumerate(spans):
+        out += [dim + data[at:a] + end] * (a > at) + [styles[i % 2] + data[a:b] + end if isinstance(styles, tuple) else styles(data[a:b])]
+        at = b
+    return "".join(out + [dim + data[at:] + end] * (at < len(data)))
+
+
+def _by_hand(text, kind):
+    if text is None:
+        return None
+    raw = text.encode()
+    names = [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in scan.parse(raw)]
+    inner = lambda token: _shown(token, [m.span() for m in scan.WORD.finditer(token)])
+    return _shown(text, names, styles=inner) if kind == "words" else _shown(text, names)
+
+
+@pytest.mark.parametrize("kind", ["identifiers", "words"])
+def test_highlights_as_by_hand(kind):
+    texts = [None, *_odd_texts(), "", None, "aB Ab AB ab Élan ÉLAN élAn _a1_b2_ 日本 ßx Xß", " ", "x"]
+    for size in (1 << 20, 40):
+        column = pa.array(texts, pa.string())
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(scan, "SLAB", size)
+            assert sinks.painted(column, kind).to_pylist() == [_by_hand(t, kind) for t in texts]
+            assert sinks.painted(column[3:9], kind).to_pylist() == [_by_hand(t, kind) for t in texts[3:9]]
+    assert sinks.painted(pa.array([], pa.string()), kind).to_pylist() == []
+
+
+def test_highlights_look_at_different_identifiers_only(monkeypatch):
+    seen = []
+    monkeypatch.setattr(scan, "_word_spans", lambda token, f=scan._word_spans: seen.append(token) or f(token))
+    sinks.painted(pa.array(["some plain Words, in CAPITALS too; twoWords, a_b " * 2000] * 3), "words")
+    assert sorted(set(seen)) == [b"a_b", b"twoWords"] and len(seen) == 2
