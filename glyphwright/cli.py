@@ -90,7 +90,7 @@ def lexicon(spark: SparkSession, e: config.Engine, dictionary=None, compiled: Da
     return check.lexicon(spark, dictionary, compiled, e.policy["locale"], e.extend_words, e.extend_identifiers, e.extend_ignore_identifiers_re, e.extend_ignore_words_re)
 
 
-def findings(rows: DataFrame, settings: config.Config, dictionary=None, compiled: DataFrame | None = None, placed: bool = False) -> DataFrame:
+def findings(rows: DataFrame, settings: config.Config, dictionary=None, compiled: DataFrame | None = None, placed: Sequence[str] = ()) -> DataFrame:
     """Findings in names and contents, each type of file by its own rules."""
     return reduce(DataFrame.unionByName, [
         check.check_files(own, lexicon(rows.sparkSession, e, dictionary, compiled), text="content", ignore=e.extend_ignore_re, names=e.policy["check_filename"], contents=e.policy["check_file"], unicode=e.policy["unicode"], placed=placed)
@@ -197,7 +197,7 @@ def _check(args, settings, rows, spark, say, out) -> int:
     local = {settings.engine(t).policy["locale"] for t in (None, *settings.types)}
     compiled = seed.dialects(spark) if local != {"en"} else None
     errors = [(r.path, r.error) for r in rows.where("error is not null").select("path", "error").collect()]
-    found = findings(rows, settings, dictionary, compiled, placed=args.format in ("long", "sarif"))
+    found = findings(rows, settings, dictionary, compiled, placed={"long": ["line", "prefix_chars"], "sarif": ["prefix_chars"]}.get(args.format, ()))
     if args.write_changes or args.diff:
         changed = fixed(rows, settings, dictionary, compiled)
         if args.diff:

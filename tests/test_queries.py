@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 
 from glyphwright.functions import scan
-from glyphwright.operators import sinks
+from glyphwright.operators import check, sinks
 from glyphwright.plans import registry
 from test_tokens import _odd_texts
 
@@ -68,3 +68,30 @@ def test_highlights_look_at_different_identifiers_only(monkeypatch):
     monkeypatch.setattr(scan, "_word_spans", lambda token, f=scan._word_spans: seen.append(token) or f(token))
     sinks.painted(pa.array(["some plain Words, in CAPITALS too; twoWords, a_b " * 2000] * 3), "words")
     assert sorted(set(seen)) == [b"a_b", b"twoWords"] and len(seen) == 2
+
+
+def test_lines_are_given_if_asked_for_and_in_bounded_batches(spark, monkeypatch):
+    text = "é ther\r\n" + "ther né ther " * 200 + "\nther"
+    rows = spark.createDataFrame([(1, text), (2, "a ther"), (3, None)], "id int, text string")
+    lex = check.lexicon(spark, {"ther": ["there"]})
+    given = check.findings(rows, lex, keep=["id"], placed=["prefix_chars"])
+    assert "line" not in given.columns
+    every = check.findings(rows, lex, keep=["id"], placed=True)
+    key = lambda r: (r.id, r.byte_offset)
+    whole, some = sorted(every.collect(), key=key), sorted(given.collect(), key=key)
+    assert len(whole) == 403 and [tuple(r) for r in some] == [tuple(r[c] for c in given.columns) for r in whole]
+    for r in whole:
+        line = (text if r.id == 1 else "a ther").split("\n")[r.line_num - 1]
+        assert r.line == line.removesuffix("\r") and line[r.prefix_chars :].startswith("ther")
+    size = [3, 3, 20, 1, 1, 9, 2]
+    monkeypatch.setattr(check, "LINE_BYTES", 10)
+    runs = [size[s] for s in check._runs(size, len(size))]
+    assert runs == [[3, 3], [20], [1, 1], [9], [2]] and list(check._runs(None, 5)) == [slice(0, 5)]
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(scan, "_fields", {})
+    many, long = b".".join([b"ab"] * 30), b"word_" * 40
+    assert len(scan.parse(many)) == 30 and scan.parse(long) and not scan._fields
+    matcher = scan.Matcher({"word": ("Corrections", ("words",))}, {}).ready()
+    assert len(matcher.evaluate(b"Word" * 40)) == 40 and not matcher.known
