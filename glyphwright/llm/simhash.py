@@ -23,6 +23,7 @@ the 2**20 rows that the upper 20 bits of a feature can tell apart.
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +38,7 @@ MAX_BITS = 10  # of the 64 of a code that is searched
 SEARCHED = 4  # codes
 MAX_ALL = 40  # of all 256
 LEAF, FAN = 16, 8
+SLAB = 1 << 18  # bytes fingerprinted at a time, which take some thirty times that
 WORDS = ("f0", "f1", "f2", "f3")
 
 
@@ -63,7 +65,7 @@ SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.
 def fingerprint(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have words, their fingerprints as n x 4 uint64)."""
     rows, prints = [], []
-    for first, _, data, offsets in _text.slabs(column):
+    for first, _, data, offsets in _text.slabs(column, SLAB):
         start, end, row = _text.words(data, offsets)
         if not len(start):
             continue
@@ -229,18 +231,13 @@ def near_pairs(unique: DataFrame, max_bits: int = MAX_BITS, max_all: int = MAX_A
     which it is found."""
     limits = _limits(max_bits, max_all)
 
-    def block(word, span):
-        s, n = span
-        return F.shiftrightunsigned(word, s).bitwiseAND(F.lit((1 << n) - 1))
-
-    places = [
-        F.struct((F.lit(k << 24 | t << 14) + F.shiftleft(block(word, spans[i]), 7) + block(word, spans[j])).cast("int").alias("bucket"), F.col(word).alias("code"))
-        for k, word in enumerate(WORDS[:SEARCHED])
-        for spans, pairs in [_layout(limits[k])]
-        for t, (i, j) in enumerate(pairs)
-    ]
+    # Places are data, not 126 expressions: the code that Spark makes and the JVM compiles stays small.
+    places = [(k, k << 24 | t << 14, *(x for s, n in (spans[i], spans[j]) for x in (s, (1 << n) - 1))) for k in range(SEARCHED) for spans, pairs in [_layout(limits[k])] for t, (i, j) in enumerate(pairs)]
+    places = F.from_json(F.lit(json.dumps([dict(zip(("k", "base", "s", "m", "s2", "m2"), p, strict=True)) for p in places])), "array<struct<k:int,base:int,s:int,m:int,s2:int,m2:int>>")
     n = _scale.partitions(unique.sparkSession)
-    rows = unique.select("rep", F.explode(F.array(*places)).alias("p")).select("p.bucket", "p.code", "rep")
+    rows = unique.select("rep", F.array(*WORDS[:SEARCHED]).alias("w"), F.explode(places).alias("p")).select("rep", F.expr("w[p.k]").alias("code"), "p.*")
+    bucket = "base + shiftleft(cast(shiftrightunsigned(code, s) & m as int), 7) + cast(shiftrightunsigned(code, s2) & m2 as int)"
+    rows = rows.select(F.expr(bucket).alias("bucket"), "code", "rep")
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
     pairs = map_arrow(rows, _searcher(limits), "a bigint, b bigint")
     left = unique.select(F.col("rep").alias("a"), *[F.col(w).alias(f"a{w}") for w in WORDS])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glyphwright import shipping
 from glyphwright.llm import _scale, _text, automaton, bpe, cuckoo, langid, licenses, linededup, mixing, quality, secrets, sharding, simhash, topk
 
 DATA = "/root/testdata/sf0.001"
@@ -200,6 +202,33 @@ def test_simhash_finds_near_copies(spark):
     assert len([1 for k, v in got.items() if k // 10 == v // 10 and v % 10 == 0]) >= 85 and all(k // 10 == v // 10 for k, v in got.items())
 
 
+def test_simhash_places_are_data(spark):
+    unique = spark.createDataFrame([(1, 2, 3, 4, 5)], "rep long, f0 long, f1 long, f2 long, f3 long")
+    plan = simhash.near_pairs(unique)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("shiftrightunsigned") <= 4  # not some for each of 126 places
+
+
+def test_fingerprints_take_little_memory():
+    texts = pa.array([" ".join(f"wort{i}x{k}" for i in range(300)) for k in range(400)])
+    tracemalloc.start()
+    rows, _ = simhash.fingerprint(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 400
+    assert peak < 16 << 20
+
+
+def test_batches_are_small_unless_the_session_says_otherwise(spark):
+    ours, theirs = spark.newSession(), spark.newSession()
+    asked = {"spark.sql.execution.arrow.maxBytesPerBatch": "3000000b", "spark.sql.parquet.columnarReaderBatchSize": "100"}
+    for k, v in asked.items():
+        theirs.conf.set(k, v)
+    for s in (ours, theirs):
+        shipping.ship(s)
+    assert {k: theirs.conf.get(k) for k in asked} == asked
+    assert [ours.conf.get(k) for k in asked] == [f"{1 << 20}b", "512"]
+
+
 def test_simhash_odd(odd):
     assert rows(simhash.duplicates(odd)) == [(5, 4)]
     kept = simhash.drop_near_duplicates(odd)
